@@ -152,16 +152,20 @@ class Model:
         return out, sizes
 
 
-def train(labelled: DataFrame, chars: int = 60_000, texts: int = 64, prefix: int = 4000, id_column: str = "doc_id") -> Model:
-    """Fit on a bounded sample of rows with text and lang: for each language the texts rows least by hash of the id, of each
-    so many leading characters, and of all these so many characters.
+def train(labelled: DataFrame, chars: int = 60_000, texts: int = 64, prefix: int = 4000, languages: int = 100, id_column: str = "doc_id") -> Model:
+    """Fit on a bounded sample of rows with text and lang: for each of the most frequent languages the texts rows least by
+    hash of the id, of each so many leading characters, and of all these so many characters.
 
     The sample is found from ids and languages alone; only its own texts are read after that. The automata of a language
-    take at most 2 * chars states, whatever the corpus holds.
+    take at most 2 * chars states, whatever the corpus holds. Null and empty texts and null languages teach nothing.
     """
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(id_column), id_column)
-    picked = known.select(id_column, "lang").withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= texts)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    # ids of least hash: a threshold leaves a few more than are wanted, so that no task ranks a whole language
+    low = F.pmod(F.xxhash64(F.col(id_column), F.lit(5)), F.lit(1 << 30))
+    some = known.select(id_column, "lang").join(F.broadcast(counts), "lang").withColumn("low", low).where(F.col("low") < F.least(F.lit(1.0), F.lit(2.0 * texts + 100) / F.col("n")) * F.lit(1 << 30))
+    order = Window.partitionBy("lang").orderBy("low", id_column)
+    picked = some.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= texts)
     chosen = known.join(F.broadcast(picked.select(id_column).distinct()), id_column).select("lang", id_column, F.substring("text", 1, prefix).alias("text"))
     samples: dict[str, list[str]] = {}
     for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r[id_column])):

@@ -88,25 +88,30 @@ class Model:
         return np.where(total > 0, (weight * self.labels[who]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
 
 
-def train(labelled: DataFrame, rows: int = 5000, dims: int = 64, neighbours: int = 25, id_column: str = "doc_id", label: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 5000, dims: int = 64, neighbours: int = 25, id_column: str = "doc_id", label: str = "quality") -> Model:
     """Fit on a bounded sample: of each of the two labels the rows documents least by hash of the id.
 
-    labelled: id, text, label. Rows with a null label take no part; null texts count as empty; a label given twice
-    counts twice. A label's votes are weighted so that both labels have their share of all labelled rows. At most 2 * rows
-    term vectors come to the driver.
+    docs: id, text; labels: id, label. Rows with a null label take no part, nor do labels without a document; null texts
+    count as empty; a label given twice counts twice. A label's votes are weighted so that both labels have their share of
+    all labelled rows. The sample is found from ids alone, at most 2 * rows ids are broadcast to find its texts, and as many
+    term vectors come to the driver, whatever the corpus holds.
     """
-    known = labelled.where(F.col(label).isin(0, 1))
-    total = {int(r[label]): r["n"] for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy(label).orderBy(F.xxhash64(id_column), id_column)
-    picked = known.select(id_column, label).withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= rows).select(id_column).distinct()
-    chosen = known.join(F.broadcast(picked), id_column).select(F.col(label).cast("int").alias("y"), F.col(id_column).alias("id"), F.col("text").alias("text_"))
+    known = labels.where(F.col(label).isin(0, 1)).select(id_column, F.col(label).cast("int").alias("y"))
+    total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # ids of least hash: a threshold leaves a few more than are wanted, so that no task ranks a whole label
+    low = F.pmod(F.xxhash64(F.col(id_column), F.lit(11)), F.lit(1 << 30))
+    share = (lambda y: min(1.0, (1.2 * rows + 200) / total[y]) if total.get(y) else 0.0)
+    some = known.withColumn("low", low).where(F.col("low") < F.when(F.col("y") == 1, F.lit(share(1) * (1 << 30))).otherwise(F.lit(share(0) * (1 << 30))))
+    order = Window.partitionBy("y").orderBy("low", id_column)
+    picked = some.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= rows).select(id_column, "y")
+    chosen = docs.select(id_column, "text").join(F.broadcast(picked), id_column).select("y", F.col(id_column).alias("id"), F.col("text").alias("text_"))
 
     def run(batches):
         for pdf in C.slabs(batches, "text_", 500_000):
             w = term_weights(C.texts_of(pdf["text_"]))
             yield pd.DataFrame({"y": pdf["y"], "id": pdf["id"], "terms": [np.flatnonzero(x).astype("<u2").tobytes() for x in w], "weights": [x[x != 0].astype("<f2").tobytes() for x in w]})
 
-    got = chosen.mapInPandas(run, f"y int, id {labelled.schema[id_column].dataType.simpleString()}, terms binary, weights binary").toPandas().sort_values(["id", "y"], ignore_index=True)
+    got = chosen.mapInPandas(run, f"y int, id {docs.schema[id_column].dataType.simpleString()}, terms binary, weights binary").toPandas().sort_values(["id", "y"], ignore_index=True)
     weights = np.zeros((len(got), TERMS), dtype=np.float32)
     for k, (terms, values) in enumerate(zip(got["terms"], got["weights"], strict=True)):
         weights[k, np.frombuffer(terms, dtype="<u2")] = np.frombuffer(values, dtype="<f2")

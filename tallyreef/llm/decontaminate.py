@@ -81,7 +81,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float =
     rows = keyed.limit(MOST_SHINGLES + 1).collect()
     if len(rows) > MOST_SHINGLES:
         raise ValueError(f"the benchmark has over {MOST_SHINGLES} shingles")
-    words = docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row_"), _words(F.col(text)).alias("words"))
+    # explode of a single array gives one row as before, but the optimizer cannot copy what it holds into later expressions
+    words = docs.select(F.col(id_column).alias("doc_id"), F.explode(F.array(_words(F.col(text)))).alias("words"))
     spans = None
     for m in sorted({r["m"] for r in rows}):
         own = [r for r in rows if r["m"] == m]

@@ -70,8 +70,15 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(C.table(spark, sf_dir, "documents").select("doc_id", "text"), C.table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_quality": op1_quality,
         "op3_tokens": op3_tokens,
         "op4_mix": op4_mix,

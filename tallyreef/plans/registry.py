@@ -16,8 +16,21 @@ def register(name, build, oracle=None):
 
 
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
+    _load()
     return dict(_ORACLES)
+
+
+def _load() -> None:
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f".{name}", __package__)
+
+
+#: Modules of this package that register queries.
+MODULES = ["recommender"]

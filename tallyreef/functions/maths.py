@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def leading_digit(n: Column) -> Column:
-    """struct(lead, rest): 213 -> 2, 13."""
-    scale = F.pow(F.lit(10), F.floor(F.log10(n.cast("double")))).cast("long")
-    return F.struct((n / scale).cast("long").alias("lead"), (n % scale).alias("rest"))
+    """struct(lead, rest): 213 -> 2, 13; 0 -> 0, 0."""
+    scale = F.pow(F.lit(10), F.floor(F.log10(F.greatest(n, F.lit(1)).cast("double")))).cast("long")
+    return F.struct(F.floor(n / scale).cast("long").alias("lead"), (n % scale).alias("rest"))
 
 
 def clip(x: Column, low: float, high: float) -> Column:

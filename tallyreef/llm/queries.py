@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import ann, chat, decontaminate, jaccard, langid, mixing, quality, tokens
+from . import ann, chat, decontaminate, jaccard, langid, lines, mixing, quality, tokens
 
 #: The document's end in token files.
 END_ID = 2
@@ -54,6 +54,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.classes(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -84,6 +88,7 @@ def queries() -> dict:
         "op4_mix": op4_mix,
         "op5_language": op5_language,
         "op6_jaccard": op6_jaccard,
+        "op7_lines": op7_lines,
         "op8_chat": op8_chat,
         "op9_neighbours": op9_neighbours,
         "op10_leaks": op10_leaks,

@@ -226,6 +226,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame
 
     got = classes(docs, id_column=id_column, **options)
     kept = got.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_")).distinct()
-    chosen = docs.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col("kept_")), "left_semi")
-    once = Window.partitionBy(id_column).orderBy("text")
-    return chosen.withColumn("row_", F.row_number().over(once)).where("row_ = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), F.col(id_column).cast("long").alias("id_"), F.col("text").alias("text_"))
+    chosen = rows.join(kept, F.col("id_").eqNullSafe(F.col("kept_")), "left_semi")
+    once = Window.partitionBy("id_").orderBy("text_")
+    return chosen.withColumn("n_", F.row_number().over(once)).where("n_ = 1").select("row_.*")

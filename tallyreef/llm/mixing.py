@@ -60,7 +60,7 @@ def _spread(key: str) -> Column:
     return F.xxhash64(F.col(key).cast("string"))
 
 
-def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: int = 64, bucket_rows: int = 50_000, key: str = "source", id_column: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: int = 64, bucket_rows: int = 4_000, key: str = "source", id_column: str = "doc_id") -> DataFrame:
     """Every row of docs with block_ and slot_: its block in its source and the place of that block in the mix.
 
     weights: whole numbers over 0, in any unit, for the sources named; all other sources, null too, form one further source
@@ -77,7 +77,8 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: in
     spark = docs.sparkSession
     named = F.when(F.col(key).isin(list(weights)), F.concat(F.lit("="), F.col(key))).otherwise(F.lit("*")) if weights else F.lit("*")
     of = {"=" + s: int(w) for s, w in weights.items()} | {"*": int(other)}
-    rows = docs.withColumn("mix_key_", named).withColumn("mix_hash_", _spread(id_column))
+    # the row travels as one column, whatever its own columns are called
+    rows = docs.select(F.struct(*docs.columns).alias("mix_row_"), named.alias("mix_key_"), _spread(id_column).alias("mix_hash_"), F.col(id_column).alias("mix_id_"))
     counts = {r["mix_key_"]: r["n"] for r in rows.groupBy("mix_key_").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     bits = max(0, math.ceil(math.log2(max(1, total / bucket_rows))))
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: in
     parts = rows.groupBy("mix_key_", "mix_part_").agg(F.count("*").alias("mix_n_"))
     before = Window.partitionBy("mix_key_").orderBy("mix_part_").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("mix_before_", F.coalesce(F.sum("mix_n_").over(before), F.lit(0))).drop("mix_n_")
-    within = Window.partitionBy("mix_key_", "mix_part_").orderBy("mix_hash_", id_column)
+    within = Window.partitionBy("mix_key_", "mix_part_").orderBy("mix_hash_", "mix_id_")
     placed = rows.join(parts, ["mix_key_", "mix_part_"]).withColumn("block_", F.floor((F.col("mix_before_") + F.row_number().over(within) - 1) / F.lit(block_rows)).cast("long"))
     plan, slots = [], []
     for n, phase in enumerate(phases(of, {s: -(-c // block_rows) for s, c in counts.items()})):
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: in
     staged = staged.withColumn("k_", F.col("block_") - F.col("first_")).withColumn("turn_", F.col("k_") % F.col("p_"))
     mixed = staged.join(small(slot_table, len(slots)), (F.col("s_") == F.col("s2_")) & (F.col("n_") == F.col("n2_")) & (F.col("turn_") == F.col("j_")))
     slot = F.col("at_") + F.floor(F.col("k_") / F.col("p_")).cast("long") * F.col("q_") + F.col("t_")
-    return mixed.withColumn("slot_", slot).select(*docs.columns, "block_", "slot_")
+    return mixed.select(*[F.col("mix_row_")[c].alias(c) for c in docs.columns], F.col("block_"), slot.alias("slot_"))
 
 
 def in_order(mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import ann, chat, decontaminate, jaccard, langid, lines, mixing, quality, tokens
+from . import ann, chat, decontaminate, jaccard, langid, lines, mixing, passages, quality, tokens
 
 #: The document's end in token files.
 END_ID = 2
@@ -30,6 +30,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_shards(C.table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), END_ID)
 
@@ -84,6 +88,7 @@ def queries() -> dict:
     return {
         "pipeline": pipeline,
         "op1_quality": op1_quality,
+        "op2_passages": op2_passages,
         "op3_tokens": op3_tokens,
         "op4_mix": op4_mix,
         "op5_language": op5_language,

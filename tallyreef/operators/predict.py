@@ -70,11 +70,3 @@ def sweep(knn: DataFrame, r: DataFrame, hidden: DataFrame, ks: list[int]) -> Dat
     at = rows.join(target, ["user_id", "item_id"]).select("*", grid).where("rank <= k").groupBy("k", "user_id", "item_id").agg(F.avg("rating").alias("pred"), F.first("true").alias("true"))
     out = at.withColumn("err", F.col("true") - F.col("pred")).groupBy("k").agg(rmse().alias("RMSE"), mae().alias("MAE"))
     return out.unpivot("k", ["RMSE", "MAE"], "type", "value")
-
-
-def farthest_and_random(cand: DataFrame, group: list[str], n: int, order: list) -> DataFrame:
-    return ranked(cand, group, order, n)
-
-
-def with_count(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    return df.withColumn(name, F.count("*").over(Window.partitionBy(*by)))

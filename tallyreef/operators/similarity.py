@@ -83,6 +83,15 @@ def histogram(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u", (F.bround("dist", 2) + F.lit(0.0)).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def histogram_all(both: DataFrame, r: DataFrame) -> DataFrame:
+    """As histogram(), over all other users: those without a common item count at distance 1, without being listed."""
+    users = r.select(F.col("user_id").alias("u")).distinct()
+    met = both.groupBy("u").agg(F.count("*").alias("c_"))
+    rest = users.join(met, "u", "left").crossJoin(F.broadcast(users.agg(F.count("*").alias("all_"))))
+    rest = rest.select("u", F.lit(1.0).alias("bin"), (F.col("all_") - 1 - F.coalesce("c_", F.lit(0))).alias("n")).where("n > 0")
+    return histogram(both).unionByName(rest).groupBy("u", "bin").agg(F.sum("n").alias("n"))
+
+
 def cdf(pairs: DataFrame, user: int, steps: int) -> DataFrame:
     """Neighbours of one user within each whole distance from 0."""
     spark = pairs.sparkSession

@@ -158,7 +158,7 @@ reg("knn_eucl", lambda s, d: _knn(S.knn_euclidean(V.ratings_dense(s, d), K)), f"
 reg("neighbor_cdf", lambda s, d: S.cdf(S.mirrored(S.euclidean_pairs(V.ratings_dense(s, d))), 1, 11), "SELECT x, count(u) AS n FROM (SELECT unnest(range(0, 11)) AS x) LEFT JOIN (SELECT u, edist FROM cos_both WHERE u = 1) ON edist <= x GROUP BY 1")
 _bin = (lambda c: f"(round_even({c}, 2) + 0.0)")
 reg("dist_hist_knn", lambda s, d: S.histogram(S.knn_cosine(V.ratings_dense(s, d), K)), f"SELECT u, {_bin('dist')} AS bin, count(*) AS n FROM knn GROUP BY 1, 2")
-reg("dist_hist_all", lambda s, d: S.histogram(S.filled(S.mirrored(S.cosine_pairs(V.ratings_dense(s, d))), V.ratings_dense(s, d), 1 << 30)), f"SELECT u, {_bin('dist')} AS bin, count(*) AS n FROM all_pairs GROUP BY 1, 2")
+reg("dist_hist_all", lambda s, d: S.histogram_all(S.mirrored(S.cosine_pairs(V.ratings_dense(s, d))), V.ratings_dense(s, d)), f"SELECT u, {_bin('dist')} AS bin, count(*) AS n FROM all_pairs GROUP BY 1, 2")
 
 # --- predictions ---------------------------------------------------------------------------------------------------
 
@@ -230,9 +230,10 @@ reg("well_predicted", lambda s, d: well(s, d).select("user_id", "item_id", r6("e
 def raters(s, d):
     """Raters of each well-predicted item, other than the user, with their distance."""
     split = prep.split_per_user(V.ratings_dense(s, d))
-    dist = S.filled(S.cosine_pairs(split, left=split.where("NOT hidden")), split, 1 << 30).select(F.col("u").alias("user_id"), "v", "dist")
+    dist = S.cosine_pairs(split, left=split.where("NOT hidden")).select(F.col("u").alias("user_id"), "v", "dist")
     who = split.select(F.col("user_id").alias("v"), "item_id")
-    return well(s, d).select("user_id", "item_id").join(who, "item_id").where("user_id <> v").join(dist, ["user_id", "v"])
+    near = well(s, d).select("user_id", "item_id").join(who, "item_id").where("user_id <> v")
+    return near.join(dist, ["user_id", "v"], "left").withColumn("dist", F.coalesce("dist", F.lit(1.0)))
 
 
 RATERS = f"SELECT w.user_id, w.item_id, s.user_id AS v, o.dist FROM ({WELL}) w JOIN split_user s ON s.item_id = w.item_id AND s.user_id <> w.user_id JOIN own_ranked o ON o.u = w.user_id AND o.v = s.user_id"

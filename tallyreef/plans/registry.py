@@ -33,4 +33,4 @@ def _load() -> None:
 
 
 #: Modules of this package that register queries.
-MODULES = ["recommender", "texts", "items"]
+MODULES = ["recommender", "texts", "items", "serving"]

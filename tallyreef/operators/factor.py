@@ -93,6 +93,7 @@ def ward(df: DataFrame, id_column: str, vector: str, clusters: int, most: int =
         raise ValueError(f"over {most} rows")
 
     def run(pdf):
+        pdf = pdf.sort_values(id_column)
         x = np.stack([np.asarray(v, dtype=float) for v in pdf[vector]])
         size, label, mean = np.ones(len(x)), np.arange(len(x)), x.copy()
         alive = list(range(len(x)))
@@ -109,7 +110,7 @@ def ward(df: DataFrame, id_column: str, vector: str, clusters: int, most: int =
         names = {c: k for k, c in enumerate(sorted(set(label.tolist())))}
         return pd.DataFrame({id_column: pdf[id_column], "cluster": [names[c] for c in label.tolist()]})
 
-    return df.orderBy(id_column).groupBy(F.lit(0)).applyInPandas(run, f"{id_column} {df.schema[id_column].dataType.simpleString()}, cluster int")
+    return df.withColumn("one_", F.lit(0)).groupBy("one_").applyInPandas(run, f"{id_column} {df.schema[id_column].dataType.simpleString()}, cluster int")
 
 
 def spectral_coclusters(df: DataFrame, row: str, column: str, value: str, clusters: int, most: int = 4_000_000) -> DataFrame:
@@ -135,4 +136,4 @@ def spectral_coclusters(df: DataFrame, row: str, column: str, value: str, cluste
         names = [("row", str(x)) for x in m.index] + [("column", str(x)) for x in m.columns]
         return pd.DataFrame({"side": [s for s, _ in names], "name": [x for _, x in names], "cluster": label.astype("int32")})
 
-    return df.groupBy(F.lit(0)).applyInPandas(run, "side string, name string, cluster int")
+    return df.withColumn("one_", F.lit(0)).groupBy("one_").applyInPandas(run, "side string, name string, cluster int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .base import ranked
 
@@ -119,7 +120,7 @@ def prompt(kind: str, batches: Column) -> Column:
 
 def generate(prompts: DataFrame, respond, column: str = "messages") -> DataFrame:
     """Prompts with a response, by any function from a list of messages to text; it runs once for each batch's rows."""
-    schema = prompts.schema.add("response", "string")
+    schema = StructType([*prompts.schema.fields, StructField("response", StringType())])
 
     def run(frames):
         for pdf in frames:

@@ -61,7 +61,9 @@ def _spread(key: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: int = 64, bucket_rows: int = 4_000, key: str = "source", id_column: str = "doc_id") -> DataFrame:
-    """Every row of docs with block_ and slot_: its block in its source and the place of that block in the mix.
+    """Every row of docs with mix_block_ and mix_slot_: its block in its source and the place of that block in the mix.
+
+    These replace columns of the same names; other columns stay, whatever they are called.
 
     weights: whole numbers over 0, in any unit, for the sources named; all other sources, null too, form one further source
     of weight other. Within a source rows go by hash of the id, then id, so that a block is a random draw. In every
@@ -100,12 +102,13 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: in
     staged = staged.withColumn("k_", F.col("block_") - F.col("first_")).withColumn("turn_", F.col("k_") % F.col("p_"))
     mixed = staged.join(small(slot_table, len(slots)), (F.col("s_") == F.col("s2_")) & (F.col("n_") == F.col("n2_")) & (F.col("turn_") == F.col("j_")))
     slot = F.col("at_") + F.floor(F.col("k_") / F.col("p_")).cast("long") * F.col("q_") + F.col("t_")
-    return mixed.select(*[F.col("mix_row_")[c].alias(c) for c in docs.columns], F.col("block_"), slot.alias("slot_"))
+    own = [F.col("mix_row_")[c].alias(c) for c in docs.columns if c not in ("mix_block_", "mix_slot_")]
+    return mixed.select(*own, F.col("block_").alias("mix_block_"), slot.alias("mix_slot_"))
 
 
 def in_order(mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Rows of mix() in the order of the mix, over files and within them, without its columns."""
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = mixed.withColumn("mix_hash_", _spread(id_column))
-    by = ["slot_", "mix_hash_", id_column]
-    return keyed.repartitionByRange(n, *by).sortWithinPartitions(*by).drop("slot_", "block_", "mix_hash_")
+    by = ["mix_slot_", "mix_hash_", id_column]
+    return keyed.repartitionByRange(n, *by).sortWithinPartitions(*by).drop("mix_slot_", "mix_block_", "mix_hash_")

@@ -44,7 +44,7 @@ SOURCE_WEIGHTS = {f"src{k}": 1 + k % 4 for k in range(20)}
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(C.table(spark, sf_dir, "documents").select("doc_id", "source"), SOURCE_WEIGHTS)
-    return mixed.select("doc_id", "source", F.col("block_").alias("block"), F.col("slot_").alias("slot"))
+    return mixed.select("doc_id", "source", F.col("mix_block_").alias("block"), F.col("mix_slot_").alias("slot"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,8 @@ class Model:
     """Suffix automata of labelled text, one for each language, in one table of transitions.
 
     An entry holds the row offset of the next state. Where no factor goes on, the entry leads on from the root, with the
-    sign bit set: there a phrase ends and the next begins with the same symbol.
+    sign bit set: there the next phrase begins, with the same symbol. One state more stands before the first phrase and
+    after a symbol that the language never has, which is a phrase by itself; all its entries begin a phrase.
     """
 
     def __init__(self, samples: dict[str, list[str]], chars: int):
@@ -106,13 +107,14 @@ class Model:
             joined = [spelled(t, self.classes) for t in samples[lang]]
             s = np.concatenate([x for t in joined for x in (t, [0])] or [np.zeros(0)])[:chars].astype(np.int64)
             own = automaton(s[s > 0], self.width)
-            step = np.where(own >= 0, own, np.where(own[0] >= 0, own[0], 0)[None, :])
+            begin = np.where(own[0] >= 0, own[0], len(own))[None, :]
+            step = np.concatenate([np.where(own >= 0, own, begin), begin])
             table = ((step + base) * self.width).astype(np.int32)
-            table |= np.where(own >= 0, 0, _ROOT_FLAG).astype(np.int32)
+            table |= np.concatenate([np.where(own >= 0, 0, _ROOT_FLAG), np.full_like(begin, _ROOT_FLAG)]).astype(np.int32)
             tables.append(table)
-            self.roots.append(base * self.width)
+            self.roots.append((base + len(own)) * self.width)
             self.sizes.append(max(2, int((s > 0).sum())))
-            base += len(own)
+            base += len(own) + 1
         self.table = np.concatenate([t.reshape(-1) for t in tables]) if tables else np.zeros(0, dtype=np.int32)
 
     def phrases(self, texts: list[str], piece: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +150,7 @@ class Model:
             np.bitwise_and(got, keep_bits, out=state[:, :m])
         out = np.zeros((len(texts), len(self.langs)))
         for k in range(len(self.langs)):
-            out[:, k] = np.bincount(owner[long], weights=count[k] + (width > 0), minlength=len(texts))
+            out[:, k] = np.bincount(owner[long], weights=count[k], minlength=len(texts))
         return out, sizes
 
 

@@ -81,7 +81,7 @@ def test_phrases_are_those_of_a_plain_parse():
                 while end <= len(s) and s[at:end] in source and 0 not in s[at:end]:
                     end += 1
                 at, count = max(end - 1, at + 1), count + 1
-            assert abs(n - count) <= 1, (lang, text)
+            assert n == count, (lang, text)
 
 
 def test_language_of_odd_texts(spark):

@@ -26,18 +26,18 @@ tg = V.item_tags
 
 # --- cleaning ------------------------------------------------------------------------------------------------------
 
-_f = [a.alias(n) for n, a in zip(("f0", "f1", "f2"), X.split_fields(F.replace(F.col("tags"), F.lit("Brand#11"), F.lit("~")), 3), strict=True)]
-reg("clean_extra", lambda s, d: V.items(s, d).select("item_id", *_f), "SELECT item_id, " + ", ".join(f"nullif(string_split(replace(tags, 'Brand#11', '~'), '|')[{k + 1}], '~') AS f{k}" for k in range(3)) + " FROM items")
-_n = F.col("cluster").cast("string")
-_range = F.when(F.col("item_id") % 5 == 0, F.concat(F.lit("jusqu'à "), _n)).when(F.col("item_id") % 5 == 1, F.concat(F.lit("à partir de "), _n)).when(F.col("item_id") % 5 == 2, _n).when(F.col("item_id") % 5 == 3, F.concat(_n, F.lit(" à 40"))).otherwise(F.concat(_n, F.lit(" ans et +")))
-reg("parse_range", lambda s, d: V.items(s, d).select("item_id", X.parse_range(_range).alias("r")).select("item_id", "r.lo", "r.hi"), "SELECT item_id, CAST(CASE item_id % 5 WHEN 0 THEN 1 ELSE cluster END AS BIGINT) AS lo, CAST(CASE item_id % 5 WHEN 0 THEN nullif(cluster, 0) WHEN 1 THEN NULL WHEN 2 THEN nullif(cluster, 0) WHEN 3 THEN 40 ELSE 99 END AS BIGINT) AS hi FROM items")
+_f = lambda: [a.alias(n) for n, a in zip(("f0", "f1", "f2"), X.split_fields(F.replace(F.col("tags"), F.lit("Brand#11"), F.lit("~")), 3), strict=True)]
+reg("clean_extra", lambda s, d: V.items(s, d).select("item_id", *_f()), "SELECT item_id, " + ", ".join(f"nullif(string_split(replace(tags, 'Brand#11', '~'), '|')[{k + 1}], '~') AS f{k}" for k in range(3)) + " FROM items")
+_n = lambda: F.col("cluster").cast("string")
+_range = lambda: F.when(F.col("item_id") % 5 == 0, F.concat(F.lit("jusqu'à "), _n())).when(F.col("item_id") % 5 == 1, F.concat(F.lit("à partir de "), _n())).when(F.col("item_id") % 5 == 2, _n()).when(F.col("item_id") % 5 == 3, F.concat(_n(), F.lit(" à 40"))).otherwise(F.concat(_n(), F.lit(" ans et +")))
+reg("parse_range", lambda s, d: V.items(s, d).select("item_id", X.parse_range(_range()).alias("r")).select("item_id", "r.lo", "r.hi"), "SELECT item_id, CAST(CASE item_id % 5 WHEN 0 THEN 1 ELSE cluster END AS BIGINT) AS lo, CAST(CASE item_id % 5 WHEN 0 THEN nullif(cluster, 0) WHEN 1 THEN NULL WHEN 2 THEN nullif(cluster, 0) WHEN 3 THEN 40 ELSE 99 END AS BIGINT) AS hi FROM items")
 reg("digit_sep", lambda s, d: V.items(s, d).select("item_id", M.leading_digit(F.col("item_id")).alias("x")).select("item_id", "x.lead", "x.rest"), "SELECT item_id, CAST(left(CAST(item_id AS VARCHAR), 1) AS BIGINT) AS lead, CAST('0' || substr(CAST(item_id AS VARCHAR), 2) AS BIGINT) AS rest FROM items")
 reg("range_display", lambda s, d: V.items(s, d).select("item_id", X.range_display(F.nullif("cluster", F.lit(7)), F.nullif(F.col("cluster") + 3, F.lit(9)), 18).alias("players")), "SELECT item_id, CASE WHEN cluster = 7 THEN '-' WHEN cluster + 3 = 9 OR cluster + 3 > 18 THEN cluster || '+' ELSE cluster || '-' || (cluster + 3) END AS players FROM items")
 reg("tag_display", lambda s, d: V.items(s, d).select("item_id", X.first_tags(F.col("tags")).alias("type")), "SELECT item_id, array_to_string(string_split(tags, '|')[1:2], ', ') AS type FROM items")
 reg("user_label", lambda s, d: V.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.format_string("%s (%d)", "c_name", "c_custkey").alias("label")), "SELECT c_custkey AS user_id, c_name || ' (' || c_custkey || ')' AS label FROM customer")
 reg("hex_rgb", lambda s, d: V.items(s, d).select("item_id", M.hex_rgb(F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("item_id") * 7919 % 16777216)), 6, "0"))).alias("rgb")), "SELECT item_id, [CAST((item_id * 7919 % 16777216) // 65536 AS BIGINT), CAST((item_id * 7919 % 16777216) // 256 % 256 AS BIGINT), CAST(item_id * 7919 % 256 AS BIGINT)] AS rgb FROM items")
-_zip = F.explode(F.arrays_zip(F.split("tags", r"\|").alias("tag"), F.sequence(F.lit(1), F.size(F.split("tags", r"\|"))).alias("pos")))
-reg("zip_explode", lambda s, d: V.items(s, d).select("item_id", _zip.alias("z")).select("item_id", "z.tag", F.col("z.pos").cast(L).alias("pos")), "SELECT item_id, unnest(string_split(tags, '|')) AS tag, unnest(range(1, len(string_split(tags, '|')) + 1)) AS pos FROM items")
+_zip = lambda: F.explode(F.arrays_zip(F.split("tags", r"\|").alias("tag"), F.sequence(F.lit(1), F.size(F.split("tags", r"\|"))).alias("pos")))
+reg("zip_explode", lambda s, d: V.items(s, d).select("item_id", _zip().alias("z")).select("item_id", "z.tag", F.col("z.pos").cast(L).alias("pos")), "SELECT item_id, unnest(string_split(tags, '|')) AS tag, unnest(range(1, len(string_split(tags, '|')) + 1)) AS pos FROM items")
 #: Themes of the explorer and the clusters of each.
 THEMES = {
     "🧩🕵️ Logique & Déduction": [22, 23],
@@ -56,8 +56,8 @@ THEMES = {
 }
 THEME_OF = {c: t for t, cs in THEMES.items() for c in cs}
 _theme_sql = "CASE cluster " + " ".join(f"WHEN {c} THEN '{t}'" for c, t in THEME_OF.items()) + " END"
-theme = F.get(F.array(*[F.lit(THEME_OF[c]) for c in range(30)]), F.col("cluster"))
-reg("theme_recode", lambda s, d: V.items(s, d).select("item_id", theme.alias("theme")), f"SELECT item_id, {_theme_sql} AS theme FROM items")
+theme = lambda: F.get(F.array(*[F.lit(THEME_OF[c]) for c in range(30)]), F.col("cluster"))
+reg("theme_recode", lambda s, d: V.items(s, d).select("item_id", theme().alias("theme")), f"SELECT item_id, {_theme_sql} AS theme FROM items")
 reg("tag_counts", lambda s, d: tg(s, d).groupBy("tag").agg(F.count("*").alias("n")), "SELECT tag, count(*) AS n FROM item_tags GROUP BY 1")
 reg("tag_counts_with_null", lambda s, d: V.comments(s, d).groupBy("polarity").agg(F.count("*").alias("n")), "SELECT polarity, count(*) AS n FROM comments GROUP BY 1")
 reg("dup_names", lambda s, d: V.items(s, d).groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "SELECT name, count(*) AS n FROM items GROUP BY 1 HAVING count(*) > 1")

@@ -66,14 +66,18 @@ reg("user_minmax", lambda s, d: V.ratings(s, d).groupBy("user_id").agg(r6(F.max(
 reg("bias_terms", lambda s, d: prep.biases(V.ratings(s, d)).select("user_id", "item_id", r6("mu").alias("mu"), r6("bu").alias("bu"), r6("bi").alias("bi"), r6("residual").alias("residual")), f"""WITH m AS (SELECT *, avg(rating) OVER () AS mu FROM ratings), b AS (SELECT *, avg(rating - mu) OVER (PARTITION BY user_id) AS bu FROM m), c AS (SELECT *, avg(rating - mu - bu) OVER (PARTITION BY item_id) AS bi FROM b)
 SELECT user_id, item_id, {q6('mu')} AS mu, {q6('bu')} AS bu, {q6('bi')} AS bi, {q6('rating - mu - bu - bi')} AS residual FROM c""")
 
-POL = F.when(F.round("centered", 9) >= 0, "positive").otherwise("negative")
+def polarity():
+    """Side of the user's mean."""
+    return F.when(F.round("centered", 9) >= 0, "positive").otherwise("negative")
+
+
 QPOL = "CASE WHEN round(centered, 9) >= 0 THEN 'positive' ELSE 'negative' END"
-reg("posneg_split", lambda s, d: cen(s, d).select("user_id", "item_id", POL.alias("polarity")), f"SELECT user_id, item_id, {QPOL} AS polarity FROM centered_dense")
-reg("posneg_items", lambda s, d: cen(s, d).withColumn("p", POL).groupBy("item_id").agg(F.count_if(F.col("p") == "positive").alias("n_pos"), F.count_if(F.col("p") == "negative").alias("n_neg")).where("n_pos >= 10 AND n_neg >= 10"), f"SELECT * FROM (SELECT item_id, count(*) FILTER ({QPOL} = 'positive') AS n_pos, count(*) FILTER ({QPOL} = 'negative') AS n_neg FROM centered_dense GROUP BY 1) WHERE n_pos >= 10 AND n_neg >= 10")
+reg("posneg_split", lambda s, d: cen(s, d).select("user_id", "item_id", polarity().alias("polarity")), f"SELECT user_id, item_id, {QPOL} AS polarity FROM centered_dense")
+reg("posneg_items", lambda s, d: cen(s, d).withColumn("p", polarity()).groupBy("item_id").agg(F.count_if(F.col("p") == "positive").alias("n_pos"), F.count_if(F.col("p") == "negative").alias("n_neg")).where("n_pos >= 10 AND n_neg >= 10"), f"SELECT * FROM (SELECT item_id, count(*) FILTER ({QPOL} = 'positive') AS n_pos, count(*) FILTER ({QPOL} = 'negative') AS n_neg FROM centered_dense GROUP BY 1) WHERE n_pos >= 10 AND n_neg >= 10")
 
 
 def posneg_union(s, d):
-    c = cen(s, d).withColumn("p", POL)
+    c = cen(s, d).withColumn("p", polarity())
     part = (lambda p: c.where(F.col("p") == p).groupBy("item_id").agg(r6(F.avg("rating")).alias("mean"), F.count("*").alias("n")).withColumn("polarity", F.lit(p)))
     return part("positive").unionByName(part("negative"))
 

@@ -41,19 +41,19 @@ def points(s, d):
 
 
 PTS = "(SELECT phrase_id, cluster, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y, CAST(embedding[3] AS DOUBLE) * 100 AS z FROM phrases)"
-_xyz = [F.col("v")[k].alias(c) for k, c in enumerate("xyz")]
-reg("push_points", lambda s, d: C.pushed(points(s, d), GROUPS).select("phrase_id", "cluster", *_xyz).select("phrase_id", "cluster", *[r6(c, 5).alias(c) for c in "xyz"]), f"""WITH g AS (SELECT * FROM (VALUES {', '.join(str(x) for x in GROUPS.items())}) t(cluster, grp)),
+_xyz = lambda: [F.col("v")[k].alias(c) for k, c in enumerate("xyz")]
+reg("push_points", lambda s, d: C.pushed(points(s, d), GROUPS).select("phrase_id", "cluster", *_xyz()).select("phrase_id", "cluster", *[r6(c, 5).alias(c) for c in "xyz"]), f"""WITH g AS (SELECT * FROM (VALUES {', '.join(str(x) for x in GROUPS.items())}) t(cluster, grp)),
 c AS (SELECT p.cluster, grp, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {PTS} p JOIN g ON g.cluster = p.cluster GROUP BY 1, 2),
 m AS (SELECT c.cluster, c.x - avg(c.x) OVER w AS dx, c.y - avg(c.y) OVER w AS dy, c.z - avg(c.z) OVER w AS dz FROM c WINDOW w AS (PARTITION BY grp)),
 u AS (SELECT *, nullif(sqrt(dx * dx + dy * dy + dz * dz), 0) AS len FROM m)
 SELECT p.phrase_id, p.cluster, {q6('x + coalesce(dx / len, 0) * 20', 5)} AS x, {q6('y + coalesce(dy / len, 0) * 20', 5)} AS y, {q6('z + coalesce(dz / len, 0) * 20', 5)} AS z FROM {PTS} p LEFT JOIN u ON u.cluster = p.cluster""")
 _extent = "greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z))"
-reg("app_zoom", lambda s, d: points(s, d).select("cluster", *_xyz).groupBy("cluster").agg(F.expr(_extent).alias("extent")).select("cluster", r6(M.zoom(F.col("extent"))).alias("zoom")), f"SELECT cluster, {q6('CASE WHEN extent = 0 THEN 16 ELSE greatest(least(log2(350 / extent), 5), 0) END')} AS zoom FROM (SELECT cluster, {_extent} AS extent FROM {PTS} GROUP BY 1)")
+reg("app_zoom", lambda s, d: points(s, d).select("cluster", *_xyz()).groupBy("cluster").agg(F.expr(_extent).alias("extent")).select("cluster", r6(M.zoom(F.col("extent"))).alias("zoom")), f"SELECT cluster, {q6('CASE WHEN extent = 0 THEN 16 ELSE greatest(least(log2(350 / extent), 5), 0) END')} AS zoom FROM (SELECT cluster, {_extent} AS extent FROM {PTS} GROUP BY 1)")
 reg("app_point_size", lambda s, d: ph(s, d).groupBy("cluster").agg((F.count("*") * 6).alias("n")).select("cluster", r6(M.point_size(F.col("n"))).alias("size")), f"SELECT cluster, {q6('2.5 + (600 - greatest(150, least(count(*) * 6, 600))) / 450.0 * 2')} AS size FROM phrases GROUP BY 1")
 _one = list(THEMES)[3]
 reg("app_theme_points", lambda s, d: V.items(s, d).where(F.col("cluster").isin(THEMES[_one])).select("item_id", "cluster", "name"), f"SELECT item_id, cluster, name FROM items WHERE cluster IN ({', '.join(map(str, THEMES[_one]))})")
-reg("app_cluster_view", lambda s, d: points(s, d).select("cluster", *_xyz).groupBy("cluster").agg(*[r6(F.avg(c), 5).alias(c) for c in "xyz"], F.count("*").alias("n")), f"SELECT cluster, {', '.join(f'{q6(f'avg({c})', 5)} AS {c}' for c in 'xyz')}, count(*) AS n FROM {PTS} GROUP BY 1")
-reg("app_item_card", lambda s, d: V.items(s, d).where("item_id <= 100").join(V.comments(s, d).where("polarity = 'positive'").groupBy(F.col("item_id").alias("i")).agg(F.min("review_id").alias("summary")), F.col("item_id") == F.col("i"), "left").select("item_id", "name", X.first_tags(F.col("tags")).alias("type"), theme_col.alias("theme"), "summary"), "SELECT i.item_id, name, array_to_string(string_split(tags, '|')[1:2], ', ') AS type, CASE cluster " + " ".join(f"WHEN {c} THEN '{t}'" for t, cs in THEMES.items() for c in cs) + " END AS theme, s.summary FROM items i LEFT JOIN (SELECT item_id, min(review_id) AS summary FROM comments WHERE polarity = 'positive' GROUP BY 1) s ON s.item_id = i.item_id WHERE i.item_id <= 100")
+reg("app_cluster_view", lambda s, d: points(s, d).select("cluster", *_xyz()).groupBy("cluster").agg(*[r6(F.avg(c), 5).alias(c) for c in "xyz"], F.count("*").alias("n")), f"SELECT cluster, {', '.join(f'{q6(f'avg({c})', 5)} AS {c}' for c in 'xyz')}, count(*) AS n FROM {PTS} GROUP BY 1")
+reg("app_item_card", lambda s, d: V.items(s, d).where("item_id <= 100").join(V.comments(s, d).where("polarity = 'positive'").groupBy(F.col("item_id").alias("i")).agg(F.min("review_id").alias("summary")), F.col("item_id") == F.col("i"), "left").select("item_id", "name", X.first_tags(F.col("tags")).alias("type"), theme_col().alias("theme"), "summary"), "SELECT i.item_id, name, array_to_string(string_split(tags, '|')[1:2], ', ') AS type, CASE cluster " + " ".join(f"WHEN {c} THEN '{t}'" for t, cs in THEMES.items() for c in cs) + " END AS theme, s.summary FROM items i LEFT JOIN (SELECT item_id, min(review_id) AS summary FROM comments WHERE polarity = 'positive' GROUP BY 1) s ON s.item_id = i.item_id WHERE i.item_id <= 100")
 
 # --- scores --------------------------------------------------------------------------------------------------------
 

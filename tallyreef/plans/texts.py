@@ -29,8 +29,8 @@ def lem(s, d, pol=None):
 
 _PUNCT = X.PUNCTUATION.replace("'", "''")
 _words = "len(list_filter(string_split_regex(translate(text, '{p}', '{b}'), '\\s+'), lambda x: x <> ''))".format(p=_PUNCT, b=" " * len(X.PUNCTUATION))
-_nw = F.size(X.split_words(X.spaced(F.col("text")))).cast(L)
-reg("min_words", lambda s, d: V.comments(s, d).select("review_id", _nw.alias("n_words")).where("n_words >= 300"), f"SELECT * FROM (SELECT review_id, {_words} AS n_words FROM comments) WHERE n_words >= 300")
+_nw = lambda: F.size(X.split_words(X.spaced(F.col("text")))).cast(L)
+reg("min_words", lambda s, d: V.comments(s, d).select("review_id", _nw().alias("n_words")).where("n_words >= 300"), f"SELECT * FROM (SELECT review_id, {_words} AS n_words FROM comments) WHERE n_words >= 300")
 reg("len_range", lambda s, d: V.comments(s, d).select("review_id", V.word_count(F.col("text")).alias("n_words")).where("n_words BETWEEN 10 AND 300"), r"SELECT * FROM (SELECT review_id, len(list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS n_words FROM comments) WHERE n_words BETWEEN 10 AND 300")
 reg("word_count", lambda s, d: V.comments(s, d).select("review_id", V.word_count(F.col("text")).alias("n_words")), r"SELECT review_id, len(list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS n_words FROM comments")
 # RE2 has neither back-references nor look-ahead: checked by rows and by unit tests
@@ -54,8 +54,8 @@ def pos_simplify(s, d):
 
 
 reg("pos_simplify", pos_simplify, "SELECT tag, count(*) AS n, count(DISTINCT lemma) AS n_lemmas FROM (SELECT lemma, CASE WHEN pos % 3 = 0 THEN 'VER' WHEN pos % 3 = 1 THEN 'NOM' ELSE 'ADJ' END AS tag FROM lemmas) WHERE tag <> 'VER' OR regexp_matches(lemma, '(er|ir|re)$') GROUP BY 1")
-_join = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda x: x["lemma"]), " ")
-reg("doc_reassemble", lambda s, d: lem(s, d).groupBy("review_id").agg(_join.alias("doc")), "SELECT review_id, string_agg(lemma, ' ' ORDER BY pos) AS doc FROM lemmas GROUP BY 1")
+_join = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda x: x["lemma"]), " ")
+reg("doc_reassemble", lambda s, d: lem(s, d).groupBy("review_id").agg(_join().alias("doc")), "SELECT review_id, string_agg(lemma, ' ' ORDER BY pos) AS doc FROM lemmas GROUP BY 1")
 
 # --- frequencies ---------------------------------------------------------------------------------------------------
 
@@ -117,11 +117,11 @@ def _qshares(keys, where=""):
     return f"SELECT {keys}, avg(coalesce(is_pos, 0)) AS pos, avg(coalesce(is_neg, 0)) AS neg FROM lemmas l LEFT JOIN {VOC} v ON v.lemma = l.lemma {where} GROUP BY ALL"
 
 
-_two = [r6("pos").alias("pos"), r6("neg").alias("neg")]
+_two = lambda: [r6("pos").alias("pos"), r6("neg").alias("neg")]
 _q2 = f"{q6('pos')} AS pos, {q6('neg')} AS neg"
-reg("positive_vocab_share", lambda s, d: _shares(s, d, ["review_id"]).select("review_id", *_two), f"SELECT review_id, {_q2} FROM ({_qshares('review_id')})")
-reg("item_sentiment_share", lambda s, d: _shares(s, d, ["item_id"]).select("item_id", *_two), f"SELECT item_id, {_q2} FROM ({_qshares('item_id')})")
-reg("user_sentiment_share", lambda s, d: _shares(s, d, ["user_id", "polarity"], "polarity IS NOT NULL").select("user_id", "polarity", *_two), f"SELECT user_id, polarity, {_q2} FROM ({_qshares('user_id, polarity', 'WHERE polarity IS NOT NULL')})")
+reg("positive_vocab_share", lambda s, d: _shares(s, d, ["review_id"]).select("review_id", *_two()), f"SELECT review_id, {_q2} FROM ({_qshares('review_id')})")
+reg("item_sentiment_share", lambda s, d: _shares(s, d, ["item_id"]).select("item_id", *_two()), f"SELECT item_id, {_q2} FROM ({_qshares('item_id')})")
+reg("user_sentiment_share", lambda s, d: _shares(s, d, ["user_id", "polarity"], "polarity IS NOT NULL").select("user_id", "polarity", *_two()), f"SELECT user_id, polarity, {_q2} FROM ({_qshares('user_id, polarity', 'WHERE polarity IS NOT NULL')})")
 
 
 def sentiment_share_avg(s, d):

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 
+#: White space around lines.
+_BLANKS = " \t\r\f\v\u0085\u00a0"
+
+
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     """Start (from 1) and length of the i-th (from 0) of even segments; the last ones are the longer ones."""
     short = F.floor(length / parts).cast("int")
@@ -62,7 +66,7 @@ def classes(docs: DataFrame, edits: int = 2, least: int = 24, id_column: str = "
     spark = docs.sparkSession
     ident = F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)))
     lines = docs.select(ident.alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "raw"))
-    lines = lines.select("doc_id", "line_no", F.regexp_replace("raw", r"^[\s\u0085\u00a0]+|[\s\u0085\u00a0]+$", "").alias("line")).where("line <> ''")
+    lines = lines.select("doc_id", "line_no", F.trim("raw", F.lit(_BLANKS)).alias("line")).where("line <> ''")
     texts = lines.groupBy("line").agg(F.min("doc_id").alias("first_doc"))
     texts = C.keep(texts.select(F.xxhash64("line").alias("id"), F.length("line").alias("n"), "first_doc", "line"), "lines")
     whole = texts.where(F.col("n") >= least).select("id", "n", "line")

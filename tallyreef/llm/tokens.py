@@ -79,7 +79,7 @@ def pieces(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts by the tokenizers library, which encodes each distinct piece once; pieces are independent of each other."""
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -192,7 +192,7 @@ def encode_texts(docs: DataFrame, path: str, end_id: int, key: list[str], id_col
 
     def run(batches):
         encode = encoder(path)
-        for pdf in C.slabs(batches, "text_"):
+        for pdf in C.slabs(batches, "text_", 1_000_000):
             ids = [np.append(x, end_id) for x in encode(C.texts_of(pdf["text_"]))]
             wide = [4 if x.max() > 0xFFFF else 2 for x in ids]
             yield pdf.drop(columns="text_").assign(width=np.array(wide, dtype=np.int32), ids=[x.astype("<u4" if w == 4 else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)])

@@ -192,3 +192,21 @@ def test_passages_across_documents(spark):
     assert 260 not in by and 261 not in by
     assert by[8]["n_words"] == 120 and not by[8]["first"] and by[7]["first"]
     assert passages.repeats(docs(spark, [])).count() == 0
+
+
+def test_passage_whose_keys_stand_in_other_texts_too(spark):
+    """Every n-gram by which the passage is found is frequent, in a context of its own before and between the copies."""
+    said = prose(500, 55).split()
+    w = passages.C.words_of([" ".join(said)])[0]
+    seeds = [pow(0xC2B2AE3D27D4EB4F, k + 2, 1 << 64) for k in range(4)]
+    at = sorted(set(passages.compact_windows(passages.C.shingles(w, 5), 46, passages.np.array(seeds, dtype=passages.np.uint64))[1].tolist()))
+
+    def other(k):
+        return " ".join(f"{prose(20000 + 100 * k + j, 50)} {' '.join(said[x : x + 5])} {prose(60000 + 100 * k + j, 50)}" for j, x in enumerate(at))
+
+    rows = [(k, other(k)) for k in (*range(40), *range(51, 90))]
+    rows += [(k, f"{prose(900 + k, 60)} {' '.join(said)} {prose(950 + k, 60)}") for k in (50, 90)]
+    got = {r["doc_id"]: r for r in passages.repeats(docs(spark, rows)).collect()}
+    assert set(got) == {50, 90}
+    assert got[50]["first"] and not got[90]["first"]
+    assert all(r["start_word"] <= 60 and r["start_word"] + r["n_words"] >= 115 for r in got.values())

@@ -210,3 +210,29 @@ def test_passage_whose_keys_stand_in_other_texts_too(spark):
     assert set(got) == {50, 90}
     assert got[50]["first"] and not got[90]["first"]
     assert all(r["start_word"] <= 60 and r["start_word"] + r["n_words"] >= 115 for r in got.values())
+
+
+def test_windows_are_those_of_brute_force():
+    """Lines that repeat within a stretch, edits and shifts, against multisets of n-grams."""
+    np, rng = passages.np, random.Random(4)
+    line = [rng.randrange(10**6) for _ in range(20)]
+    text = [g for _ in range(6) for g in (*line, *(rng.randrange(10**6) for _ in range(35)))]
+    assert passages._spans(np.array(text, dtype=np.uint32), np.array(text, dtype=np.uint32), 0, 46, 0.8).all()
+    seen = Counter()
+    for k in range(20):
+        other = list(text)
+        for _ in range(rng.randrange(60)):
+            at = rng.randrange(len(other) - 3)
+            if rng.randrange(2):
+                other[at : at + 3] = other[at : at + 3][::-1]
+            else:
+                other[at] = rng.choice(text)
+        b = [7] * (k % 3) + other
+        a, shift = text, -(k % 3)
+        got = passages._spans(np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32), shift, 46, 0.8)
+        for i, hit in enumerate(got.tolist()):
+            x, y = a[i : i + 46], b[i - shift : i - shift + 46]
+            common = sum((Counter(x) & Counter(y)).values())
+            assert hit == (len(y) == 46 and common >= 0.8 * (92 - common) - 1e-9)
+            seen[hit] += 1
+    assert min(seen[True], seen[False]) > 20

@@ -47,13 +47,14 @@ def _probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return out
 
 
-def classes(docs: DataFrame, edits: int = 2, least: int = 24, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, edits: int = 2, least: int | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no, times, line_id, class_id, keep: one row for each different line of each document.
 
     Lines are what stands between line ends, without white space around; blank ones are left out. line_no is the line's
     first place in the document from 0, times how often it stands there, line_id its 64-bit hash. Lines are linked if one
     becomes the other by edits or fewer insertions, deletions and replacements of characters; lines of fewer than least
-    characters are linked to equal ones only. class_id is the least line_id of those joined by links. keep is true for
+    characters are linked to equal ones only: without least those of edits characters or fewer, as any two of them are within
+    edits. class_id is the least line_id of those joined by links. keep is true for
     one line of each class: of the documents with the least id the line of the least hash; the others repeat it. Null and
     empty texts have no lines; rows that repeat an id are one document; a null id counts as one, and is less than
     any other; further columns are left out.
@@ -63,7 +64,7 @@ def classes(docs: DataFrame, edits: int = 2, least: int = 24, id_column: str = "
     that meet are verified with the built-in edit distance, which looks at a band as wide as the threshold. Links are
     joined into classes by rounds of joins.
     """
-    spark = docs.sparkSession
+    least = edits + 1 if least is None else least
     ident = F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)))
     lines = docs.select(ident.alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "raw"))
     lines = lines.select("doc_id", "line_no", F.trim("raw", F.lit(_BLANKS)).alias("line")).where("line <> ''")

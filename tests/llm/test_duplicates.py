@@ -236,3 +236,26 @@ def test_windows_are_those_of_brute_force():
             assert hit == (len(y) == 46 and common >= 0.8 * (92 - common) - 1e-9)
             seen[hit] += 1
     assert min(seen[True], seen[False]) > 20
+
+
+def test_short_lines_are_those_of_brute_force(spark):
+    """Lines of 1 to 23 characters, by edits and by their classes."""
+    rng, kinds = random.Random(6), {"a", "zz"}
+    for _ in range(60):
+        base = "".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(3, 24)))
+        kinds |= {base, base[:-1] + "z", "y" + base[:22]}
+    kinds = sorted(kinds)
+    root = {x: x for x in kinds}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(kinds):
+        for y in kinds[:i]:
+            if len(x) > 2 and len(y) > 2 and distance(x, y) <= 2:
+                root[find(x)] = find(y)
+    got = {kinds[r["doc_id"]]: r["class_id"] for r in lines.classes(docs(spark, list(enumerate(kinds)))).collect()}
+    pairs = {(find(x), got[x]) for x in kinds}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) < len(kinds) / 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,41 +11,103 @@ from . import _common as C
 
 
 #: White space around lines.
-_BLANKS = " \t\r\f\v\u0085\u00a0"
+_BLANKS = " \t\r\f\v\u0085 "
+
+#: Bytes of a character in UTF-32, in which substrings are found by arithmetic rather than by walking the text.
+_WIDE = 4
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of the i-th (from 0) of even segments; the last ones are the longer ones."""
+def _segment(length: Column, i: Column, parts: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of the i-th (from 0) of even segments; the last ones are the longer ones."""
     short = F.floor(length / parts).cast("int")
-    longer = (length % parts).cast("int")
-    extra = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - longer))
-    size = short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
-    return F.lit(i) * short + extra + 1, size
+    even = parts - length % parts
+    return (i * short + F.greatest(F.lit(0), i - even)).cast("int"), (short + F.when(i >= even, 1).otherwise(0)).cast("int")
 
 
-def _index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    out = []
-    for i in range(edits + 1):
-        start, size = _segment(length, i, edits + 1)
-        out.append(F.xxhash64(length, F.lit(i), F.substr(line, start, size)))
-    return out
+def _key(before: Column, i: Column, wide: Column, at: Column, size: Column) -> Column:
+    return F.xxhash64(before.cast("long"), i, F.substr(wide, at * _WIDE + 1, size * _WIDE))
 
 
-def _probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys of the substrings that can match a segment of a line by less characters or as many.
+def _keyed(edits: int) -> Column:
+    """Structs (key, probe) of a line: its segments, and the substrings that can match a segment of a line of less characters
+    or as many.
 
     With i segments before it and edits - i after it, a segment's match is shifted by i at most seen from the left, and by
-    edits - i from the right; only shifts within both are probed.
+    edits - i from the right; only shifts within both are probed. What stands unshifted in a line of the same length is
+    the line's own segment, and is given once.
     """
-    out = []
+    n, out = F.col("n"), []
     for less in range(edits + 1):
-        other = length - less
+        other = n - less
         for i in range(edits + 1):
-            start, size = _segment(other, i, edits + 1)
+            start, size = _segment(other, F.lit(i), F.lit(edits + 1))
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= length)
-                out.append(F.when(fits, F.xxhash64(other, F.lit(i), F.substr(line, at, size))))
+                fits = (other > edits) & (at >= 0) & (at + size <= n)
+                out.append(F.when(fits, F.struct(_key(other, F.lit(i), F.col("wide"), at, size).alias("key"), F.lit(less > 0 or shift != 0).alias("probe"))))
+    return F.array(*out)
+
+
+def _finer(rows: DataFrame, wide: DataFrame, edits: int) -> DataFrame:
+    """Rows (id, key, probe, regions) whose keys are split by what the first region of rows holds.
+
+    A region is a stretch still to be compared: own characters from start on, against so many of theirs, those of the indexed line,
+    within so many edits. It is cut as a line is. Beside the segment that matches, the stretch before it has as many edits
+    as segments, and the one after it the others, so both are regions. Those too short to be cut are left open.
+    """
+    ways = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for t in range(1, edits + 1) for i in range(t + 1) for shift in range(-i, i + 1)])
+    rows = rows.select("*", F.col("regions")[0].alias("r"), F.slice("regions", 2, F.size("regions")).alias("others")).select("id", "key", "probe", "r.*", "others")
+    rows = rows.join(wide, "id").select("*", F.explode(ways).alias("w")).select("*", "w.*").where("edits = t AND abs(own - theirs - shift) <= t - i")
+    start, size = _segment(F.col("theirs"), F.col("i"), F.col("t") + 1)
+    rows = rows.withColumns({"from": start, "size": size}).withColumn("at", F.col("from") + F.col("shift")).where("at >= 0 AND at + size <= own")
+    left = F.struct("start", F.col("at").alias("own"), F.col("from").alias("theirs"), F.col("i").alias("edits"))
+    right = F.struct(F.expr("start + at + size").alias("start"), F.expr("own - at - size").alias("own"), F.expr("theirs - from - size").alias("theirs"), F.expr("t - i").alias("edits"))
+    rows = rows.select("id", _key(F.col("key"), F.col("i"), F.col("wide"), F.col("start") + F.col("at"), F.col("size")).alias("key"), F.expr("probe OR shift <> 0").alias("probe"), F.concat("others", F.array(left, right)).alias("regions"))
+    return rows.withColumn("regions", F.filter("regions", lambda r: (r.edits > 0) & (r.theirs > r.edits)))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """key, members: keys under which lines can meet, and how many lines have them as their own segments."""
+    own, probes = F.count_if(~F.col("probe")).alias("members"), F.count_if("probe").alias("probes")
+    return rows.groupBy("key").agg(own, probes).where("members > 1 OR (members > 0 AND probes > 0)").drop("probes")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b, of rows under one key: own segments with each other and with probes."""
+    one, two = rows.where(~F.col("probe")).select("key", F.col("id").alias("a")), rows.select("key", F.col("id").alias("b"), "probe")
+    met = one.join(two, "key").where((F.col("a") < F.col("b")) | (F.col("probe") & (F.col("a") != F.col("b"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def candidates(lines: DataFrame, edits: int, crowd: int = 8) -> DataFrame:
+    """Pairs (a, b) of ids of lines (id, n, line), all those within edits edits among them, as a table of the shared folder.
+
+    Keys are counted first, so that only rows under a key that lines share are dealt. A key that is the own segment of more than crowd
+    lines is split by segments of what stands before and after the one that matched, and so on until crowd or fewer are
+    left or no more than edits characters of each stretch are open. So pairs grow with rows and not with the square of a
+    key's lines, and none within edits is lost.
+    """
+    rows = lines.select("id", "n", F.encode("line", "UTF-32").alias("wide")).select("id", F.explode(_keyed(edits)).alias("k")).where("k IS NOT NULL").select("id", "k.*")
+    shared = C.keep(_shared(rows), "keys")
+    met = C.keep(rows.join(shared, "key"), "met")
+    found = [C.keep(_pairs(met.where(F.col("members") <= crowd)), "pairs")]
+    crowded, spare = met.where(F.col("members") > crowd), [shared, met]
+    if not crowded.isEmpty():
+        held = C.keep(lines.join(crowded.select("id").distinct(), "id", "left_semi").select("id", "n", F.encode("line", "UTF-32").alias("wide")), "crowded")
+        wide, less = held.select("id", "wide"), F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("less")
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("own"), (F.col("n") - F.col("less")).alias("theirs"), F.lit(edits).alias("edits")))
+        rows = held.select("id", "n", less).select("id", (F.col("n") - F.col("less")).cast("long").alias("key"), (F.col("less") > 0).alias("probe"), whole.alias("regions"))
+        rows = C.keep(_finer(rows, wide, edits).join(crowded.select("key").distinct(), "key", "left_semi"), "rows")
+        spare += [held, rows]
+        while not rows.isEmpty():
+            finer = C.keep(_finer(rows, wide, edits), "rows")
+            met = C.keep(finer.join(_shared(finer), "key"), "met")
+            full = (F.col("members") > crowd) & (F.size("regions") > 0)
+            found.append(C.keep(_pairs(met.where(~full)), "pairs"))
+            rows = met.where(full).drop("members")
+            spare += [finer, met]
+    out = C.keep(reduce(DataFrame.unionByName, found).distinct(), "candidates")
+    C.drop(*spare, *found)
     return out
 
 
@@ -60,9 +124,9 @@ def classes(docs: DataFrame, edits: int = 2, least: int | None = None, id_column
     any other; further columns are left out.
 
     Equal lines become one before any are compared. A line's edits + 1 even segments, by its length, are its index; other lines
-    probe with the substrings that could match one of them (edits touch at most as many segments, so one is whole). Pairs
-    that meet are verified with the built-in edit distance, which looks at a band as wide as the threshold. Links are
-    joined into classes by rounds of joins.
+    probe with the substrings that could match one of them (edits touch at most as many segments, so one is whole); crowded
+    segments are split by what stands beside them. Pairs that meet are verified with the built-in edit distance, which
+    looks at a band as wide as the threshold. Links are joined into classes by rounds of joins.
     """
     least = edits + 1 if least is None else least
     ident = F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)))
@@ -71,13 +135,12 @@ def classes(docs: DataFrame, edits: int = 2, least: int | None = None, id_column
     texts = lines.groupBy("line").agg(F.min("doc_id").alias("first_doc"))
     texts = C.keep(texts.select(F.xxhash64("line").alias("id"), F.length("line").alias("n"), "first_doc", "line"), "lines")
     whole = texts.where(F.col("n") >= least).select("id", "n", "line")
-    keyed = (lambda keys, name: whole.select(F.col("id").alias(name), F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL"))
-    index = keyed(_index_keys(F.col("line"), F.col("n"), edits), "a")
-    probes = keyed(_probe_keys(F.col("line"), F.col("n"), edits), "b")
-    met = C.keep(index.join(probes, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-    one, two = whole.select(F.col("id").alias("a"), F.col("line").alias("x")), whole.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    met = candidates(whole, edits)
+    named = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = C.keep(whole.join(named, "id", "left_semi"), "asked")
+    one, two = asked.select(F.col("id").alias("a"), F.col("line").alias("x")), asked.select(F.col("id").alias("b"), F.col("line").alias("y"))
     near = F.levenshtein("x", "y", edits)
-    links = C.keep(met.join(one, "a").join(two, "b").where(near >= 0).select("a", "b"), "linked")
+    links = C.keep(met.repartition(C.n_partitions(docs.sparkSession), "a", "b").join(one, "a").join(two, "b").where(near >= 0).select("a", "b"), "linked")
     roots = C.components(links)
     known = texts.select("id", "n", "first_doc").join(roots, texts.id == roots.node, "left").select("id", "n", "first_doc", F.coalesce("root", "id").alias("class_id"))
     joined = known.join(roots.select(F.col("root").alias("class_id")).distinct(), "class_id", "left_semi")
@@ -87,5 +150,5 @@ def classes(docs: DataFrame, edits: int = 2, least: int | None = None, id_column
     at = lines.select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.length("line").alias("n")).groupBy("doc_id", "id", "n").agg(F.min("line_no").cast("long").alias("line_no"), F.count("*").alias("times"))
     out = at.join(known, ["id", "n"]).select(F.nullif("doc_id", F.lit(-(2**63))).alias("doc_id"), "line_no", "times", F.col("id").alias("line_id"), "class_id", ((F.col("doc_id") == F.col("keep_doc")) & (F.col("id") == F.col("keep_id"))).alias("keep"))
     out = C.keep(out, "line-classes")
-    C.drop(texts, met, links, roots)
+    C.drop(texts, met, asked, links, roots)
     return out

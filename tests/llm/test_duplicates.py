@@ -259,3 +259,24 @@ def test_short_lines_are_those_of_brute_force(spark):
     got = {kinds[r["doc_id"]]: r["class_id"] for r in lines.classes(docs(spark, list(enumerate(kinds)))).collect()}
     pairs = {(find(x), got[x]) for x in kinds}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) < len(kinds) / 2
+
+
+def test_crowded_lines_are_those_of_brute_force(spark):
+    """Families of edited lines that share segments: all pairs within the edits are candidates, and few others."""
+    rng, kinds = random.Random(8), set()
+    for length in (9, 40):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(length))
+        for _ in range(40):
+            x = base
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(x))
+                kind = rng.randrange(3)
+                x = x[:at] + ("" if kind == 2 else rng.choice("é𝒳yz")) + x[at + (kind > 0) :]
+            kinds.add(x)
+        kinds |= {f"{base}{k:04d}" for k in range(0, 3000, 97)}
+    kinds = sorted(x for x in kinds if len(x) > 2)
+    table = spark.createDataFrame([(k, len(x), x) for k, x in enumerate(kinds)], "id long, n int, line string")
+    rows = [(i, j) for i in range(len(kinds)) for j in range(i + 1, len(kinds)) if abs(len(kinds[i]) - len(kinds[j])) <= 2]
+    want = {(i, j) for i, j in rows if distance(kinds[i], kinds[j]) <= 2}
+    got = {tuple(r) for r in lines.candidates(table, 2, 3).collect()}
+    assert want <= got and len(got) < len(rows)

@@ -56,7 +56,7 @@ def _finer(rows: DataFrame, wide: DataFrame, edits: int) -> DataFrame:
     as segments, and the one after it the others, so both are regions. Those too short to be cut are left open.
     """
     ways = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for t in range(1, edits + 1) for i in range(t + 1) for shift in range(-i, i + 1)])
-    rows = rows.select("*", F.col("regions")[0].alias("r"), F.slice("regions", 2, F.size("regions")).alias("others")).select("id", "key", "probe", "r.*", "others")
+    rows = rows.select("*", F.get("regions", F.lit(0)).alias("r"), F.slice("regions", 2, F.size("regions")).alias("others")).select("id", "key", "probe", "r.*", "others")
     rows = rows.join(wide, "id").select("*", F.explode(ways).alias("w")).select("*", "w.*").where("edits = t AND abs(own - theirs - shift) <= t - i")
     start, size = _segment(F.col("theirs"), F.col("i"), F.col("t") + 1)
     rows = rows.withColumns({"from": start, "size": size}).withColumn("at", F.col("from") + F.col("shift")).where("at >= 0 AND at + size <= own")
@@ -99,6 +99,8 @@ def candidates(lines: DataFrame, edits: int, crowd: int = 8) -> DataFrame:
         rows = held.select("id", "n", less).select("id", (F.col("n") - F.col("less")).cast("long").alias("key"), (F.col("less") > 0).alias("probe"), whole.alias("regions"))
         rows = C.keep(_finer(rows, wide, edits).join(crowded.select("key").distinct(), "key", "left_semi"), "rows")
         spare += [held, rows]
+        found.append(C.keep(_pairs(rows.where(F.size("regions") == 0)), "pairs"))
+        rows = rows.where(F.size("regions") > 0)
         while not rows.isEmpty():
             finer = C.keep(_finer(rows, wide, edits), "rows")
             met = C.keep(finer.join(_shared(finer), "key"), "met")

@@ -274,6 +274,7 @@ def test_crowded_lines_are_those_of_brute_force(spark):
                 x = x[:at] + ("" if kind == 2 else rng.choice("é𝒳yz")) + x[at + (kind > 0) :]
             kinds.add(x)
         kinds |= {f"{base}{k:04d}" for k in range(0, 3000, 97)}
+    kinds |= {a + b + c for a in "ab" for b in "xyz0123456" for c in "mn"}
     kinds = sorted(x for x in kinds if len(x) > 2)
     table = spark.createDataFrame([(k, len(x), x) for k, x in enumerate(kinds)], "id long, n int, line string")
     rows = [(i, j) for i in range(len(kinds)) for j in range(i + 1, len(kinds)) if abs(len(kinds[i]) - len(kinds[j])) <= 2]

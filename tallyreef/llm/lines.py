@@ -28,24 +28,22 @@ def _key(before: Column, i: Column, wide: Column, at: Column, size: Column) -> C
     return F.xxhash64(before.cast("long"), i, F.substr(wide, at * _WIDE + 1, size * _WIDE))
 
 
-def _keyed(edits: int) -> Column:
-    """Structs (key, probe) of a line: its segments, and the substrings that can match a segment of a line of less characters
-    or as many.
+def _keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """Rows (id, key, probe) of lines: their segments, and the substrings that can match a segment of a line of less
+    characters or as many.
 
     With i segments before it and edits - i after it, a segment's match is shifted by i at most seen from the left, and by
     edits - i from the right; only shifts within both are probed. What stands unshifted in a line of the same length is
-    the line's own segment, and is given once.
+    the line's own segment, and is given once. Ways are rows rather than expressions: the method that Spark generates for
+    an expression of each is too long for the JVM to compile.
     """
-    n, out = F.col("n"), []
-    for less in range(edits + 1):
-        other = n - less
-        for i in range(edits + 1):
-            start, size = _segment(other, F.lit(i), F.lit(edits + 1))
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                at = start + shift
-                fits = (other > edits) & (at >= 0) & (at + size <= n)
-                out.append(F.when(fits, F.struct(_key(other, F.lit(i), F.col("wide"), at, size).alias("key"), F.lit(less > 0 or shift != 0).alias("probe"))))
-    return F.array(*out)
+    shifts = (lambda less, i: range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1))
+    ways = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less in range(edits + 1) for i in range(edits + 1) for shift in shifts(less, i)])
+    # explode of a single array: the text is turned once and not for every way
+    rows = lines.select("id", "n", F.explode(F.array(F.encode("line", "UTF-32"))).alias("wide")).select("*", F.explode(ways).alias("w")).select("id", "n", "wide", "w.*")
+    start, size = _segment(F.col("n") - F.col("less"), F.col("i"), F.lit(edits + 1))
+    rows = rows.withColumns({"from": start, "size": size}).withColumn("at", F.col("from") + F.col("shift")).where(f"n - less > {edits} AND at >= 0 AND at + size <= n")
+    return rows.select("id", _key(F.col("n") - F.col("less"), F.col("i"), F.col("wide"), F.col("at"), F.col("size")).alias("key"), F.expr("less > 0 OR shift <> 0").alias("probe"))
 
 
 def _finer(rows: DataFrame, wide: DataFrame, edits: int) -> DataFrame:
@@ -72,43 +70,58 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(own, probes).where("members > 1 OR (members > 0 AND probes > 0)").drop("probes")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b, of rows under one key: own segments with each other and with probes."""
-    one, two = rows.where(~F.col("probe")).select("key", F.col("id").alias("a")), rows.select("key", F.col("id").alias("b"), "probe")
-    met = one.join(two, "key").where((F.col("a") < F.col("b")) | (F.col("probe") & (F.col("a") != F.col("b"))))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+#: Characters that are counted together. Any classes would do; these are of like frequency in Latin text.
+_CLASSES = ["eE", "tT", "aA", "oO", "iI", "nN", "sS", "hHrR", "dDlL", "uUcC", "wWmMfFgGyY", "pPbBvVkKjJxXqQzZ", "0123456789", " "]
 
 
-def candidates(lines: DataFrame, edits: int, crowd: int = 8) -> DataFrame:
-    """Pairs (a, b) of ids of lines (id, n, line), all those within edits edits among them, as a table of the shared folder.
+def _counted(lines: DataFrame) -> DataFrame:
+    """Lines with how many characters of each class they hold: an edit changes two of the counts by one at most."""
+    return lines.withColumns({f"c{k}": F.length("line") - F.length(F.translate("line", of, "")) for k, of in enumerate(_CLASSES)})
 
-    Keys are counted first, so that only rows under a key that lines share are dealt. A key that is the own segment of more than crowd
-    lines is split by segments of what stands before and after the one that matched, and so on until crowd or fewer are
-    left or no more than edits characters of each stretch are open. So pairs grow with rows and not with the square of a
-    key's lines, and none within edits is lost.
+
+def _near(rows: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """(a, b), a < b, of lines under one key, own segments with each other and with probes, that are within edits edits."""
+    told = rows.select("key", "id", "probe").join(lines.drop("n"), "id").repartition(C.n_partitions(lines.sparkSession), "key")
+    one, two = told.where(~F.col("probe")).alias("one"), told.alias("two")
+    met = "one.key = two.key AND (one.id < two.id OR two.probe AND one.id <> two.id)"
+    apart = " + ".join(f"abs(one.c{k} - two.c{k})" for k in range(len(_CLASSES)))
+    near = one.join(two, F.expr(f"{met} AND {apart} <= {2 * edits}") & (F.levenshtein("one.line", "two.line", edits) >= 0))
+    return near.select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b"))
+
+
+def links(lines: DataFrame, edits: int, crowd: int = 64) -> DataFrame:
+    """Pairs (a, b) of ids of lines (id, n, line) that are within edits edits, as a table of the shared folder.
+
+    Keys are counted first, so that only rows under a key that lines share are dealt and verified. A key that is the own segment
+    of more than crowd lines is split by segments of what stands before and after the one that matched, in rounds,
+    until crowd or fewer are left or no more than edits characters of each stretch are open. So what is verified grows with
+    rows and not with the square of a key's lines, and no pair within edits is lost. Counts of characters settle most pairs
+    before their edits are counted. Keys grow with the lines, so no step needs all of them in one place.
     """
-    rows = lines.select("id", "n", F.encode("line", "UTF-32").alias("wide")).select("id", F.explode(_keyed(edits)).alias("k")).where("k IS NOT NULL").select("id", "k.*")
+    rows = _keyed(lines, edits)
     shared = C.keep(_shared(rows), "keys")
-    met = C.keep(rows.join(shared, "key"), "met")
-    found = [C.keep(_pairs(met.where(F.col("members") <= crowd)), "pairs")]
-    crowded, spare = met.where(F.col("members") > crowd), [shared, met]
+    met = C.keep(rows.join(shared.hint("merge"), "key"), "met")
+    held = C.keep(_counted(lines.join(met.select("id").distinct(), "id", "left_semi")), "held")
+    found = [C.keep(_near(met.where(F.col("members") <= crowd), held, edits), "near")]
+    crowded, spare = met.where(F.col("members") > crowd), [shared, met, held]
     if not crowded.isEmpty():
-        held = C.keep(lines.join(crowded.select("id").distinct(), "id", "left_semi").select("id", "n", F.encode("line", "UTF-32").alias("wide")), "crowded")
-        wide, less = held.select("id", "wide"), F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("less")
+        wide, less = held.select("id", F.encode("line", "UTF-32").alias("wide")), F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("less")
         whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("own"), (F.col("n") - F.col("less")).alias("theirs"), F.lit(edits).alias("edits")))
-        rows = held.select("id", "n", less).select("id", (F.col("n") - F.col("less")).cast("long").alias("key"), (F.col("less") > 0).alias("probe"), whole.alias("regions"))
-        rows = C.keep(_finer(rows, wide, edits).join(crowded.select("key").distinct(), "key", "left_semi"), "rows")
-        spare += [held, rows]
-        found.append(C.keep(_pairs(rows.where(F.size("regions") == 0)), "pairs"))
-        rows = rows.where(F.size("regions") > 0)
-        while not rows.isEmpty():
+        rows = held.join(crowded.select("id").distinct(), "id", "left_semi").select("id", "n", less)
+        rows = rows.select("id", (F.col("n") - F.col("less")).cast("long").alias("key"), (F.col("less") > 0).alias("probe"), whole.alias("regions"))
+        met = C.keep(_finer(rows, wide, edits).join(crowded.select("key").distinct(), "key", "left_semi"), "rows")
+        full = F.size("regions") > 0
+        while True:
+            spare.append(met)
+            found.append(C.keep(_near(met.where(~full), held, edits), "near"))
+            rows = met.where(full)
+            if rows.isEmpty():
+                break
             finer = C.keep(_finer(rows, wide, edits), "rows")
             met = C.keep(finer.join(_shared(finer), "key"), "met")
+            spare.append(finer)
             full = (F.col("members") > crowd) & (F.size("regions") > 0)
-            found.append(C.keep(_pairs(met.where(~full)), "pairs"))
-            rows = met.where(full).drop("members")
-            spare += [finer, met]
-    out = C.keep(reduce(DataFrame.unionByName, found).distinct(), "candidates")
+    out = C.keep(reduce(DataFrame.unionByName, found).distinct(), "linked")
     C.drop(*spare, *found)
     return out
 
@@ -127,7 +140,7 @@ def classes(docs: DataFrame, edits: int = 2, least: int | None = None, id_column
 
     Equal lines become one before any are compared. A line's edits + 1 even segments, by its length, are its index; other lines
     probe with the substrings that could match one of them (edits touch at most as many segments, so one is whole); crowded
-    segments are split by what stands beside them. Pairs that meet are verified with the built-in edit distance, which
+    segments are split by what stands beside them. Those that meet are verified where they meet with the built-in edit distance, which
     looks at a band as wide as the threshold. Links are joined into classes by rounds of joins.
     """
     least = edits + 1 if least is None else least
@@ -137,13 +150,8 @@ def classes(docs: DataFrame, edits: int = 2, least: int | None = None, id_column
     texts = lines.groupBy("line").agg(F.min("doc_id").alias("first_doc"))
     texts = C.keep(texts.select(F.xxhash64("line").alias("id"), F.length("line").alias("n"), "first_doc", "line"), "lines")
     whole = texts.where(F.col("n") >= least).select("id", "n", "line")
-    met = candidates(whole, edits)
-    named = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked = C.keep(whole.join(named, "id", "left_semi"), "asked")
-    one, two = asked.select(F.col("id").alias("a"), F.col("line").alias("x")), asked.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    near = F.levenshtein("x", "y", edits)
-    links = C.keep(met.repartition(C.n_partitions(docs.sparkSession), "a", "b").join(one, "a").join(two, "b").where(near >= 0).select("a", "b"), "linked")
-    roots = C.components(links)
+    linked = links(whole, edits)
+    roots = C.components(linked)
     known = texts.select("id", "n", "first_doc").join(roots, texts.id == roots.node, "left").select("id", "n", "first_doc", F.coalesce("root", "id").alias("class_id"))
     joined = known.join(roots.select(F.col("root").alias("class_id")).distinct(), "class_id", "left_semi")
     low = joined.groupBy(F.col("class_id").alias("low_class")).agg(F.min("first_doc").alias("low_doc"))
@@ -152,5 +160,5 @@ def classes(docs: DataFrame, edits: int = 2, least: int | None = None, id_column
     at = lines.select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.length("line").alias("n")).groupBy("doc_id", "id", "n").agg(F.min("line_no").cast("long").alias("line_no"), F.count("*").alias("times"))
     out = at.join(known, ["id", "n"]).select(F.nullif("doc_id", F.lit(-(2**63))).alias("doc_id"), "line_no", "times", F.col("id").alias("line_id"), "class_id", ((F.col("doc_id") == F.col("keep_doc")) & (F.col("id") == F.col("keep_id"))).alias("keep"))
     out = C.keep(out, "line-classes")
-    C.drop(texts, met, asked, links, roots)
+    C.drop(texts, linked, roots)
     return out

@@ -199,7 +199,7 @@ def test_passage_whose_keys_stand_in_other_texts_too(spark):
     said = prose(500, 55).split()
     w = passages.C.words_of([" ".join(said)])[0]
     seeds = [pow(0xC2B2AE3D27D4EB4F, k + 2, 1 << 64) for k in range(4)]
-    at = sorted(set(passages.compact_windows(passages.C.shingles(w, 5), 46, passages.np.array(seeds, dtype=passages.np.uint64))[1].tolist()))
+    at = sorted(set(passages.compact_windows(w, passages.np.array([0, len(w)]), 5, 46, passages.np.array(seeds, dtype=passages.np.uint64))[2].tolist()))
 
     def other(k):
         return " ".join(f"{prose(20000 + 100 * k + j, 50)} {' '.join(said[x : x + 5])} {prose(60000 + 100 * k + j, 50)}" for j, x in enumerate(at))
@@ -217,8 +217,8 @@ def test_windows_are_those_of_brute_force():
     np, rng = passages.np, random.Random(4)
     line = [rng.randrange(10**6) for _ in range(20)]
     text = [g for _ in range(6) for g in (*line, *(rng.randrange(10**6) for _ in range(35)))]
-    assert passages._spans(np.array(text, dtype=np.uint32), np.array(text, dtype=np.uint32), 0, 46, 0.8).all()
-    seen = Counter()
+    both, sizes, want = [], [], set()
+    both.append((text, text))
     for k in range(20):
         other = list(text)
         for _ in range(rng.randrange(60)):
@@ -227,14 +227,22 @@ def test_windows_are_those_of_brute_force():
                 other[at : at + 3] = other[at : at + 3][::-1]
             else:
                 other[at] = rng.choice(text)
-        b = [7] * (k % 3) + other
-        a, shift = text, -(k % 3)
-        got = passages._spans(np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32), shift, 46, 0.8)
-        for i, hit in enumerate(got.tolist()):
-            x, y = a[i : i + 46], b[i - shift : i - shift + 46]
-            common = sum((Counter(x) & Counter(y)).values())
-            assert hit == (len(y) == 46 and common >= 0.8 * (92 - common) - 1e-9)
+        if k % 3:
+            other.insert(rng.randrange(len(other)), 7)
+        both.append((text, other[: len(text)]))
+    both.append((text[:45], text[:45]))
+    seen, before = Counter(), 0
+    for a, b in both:
+        for i in range(len(a) - 45):
+            common = sum((Counter(a[i : i + 46]) & Counter(b[i : i + 46])).values())
+            hit = common >= 0.8 * (92 - common) - 1e-9
             seen[hit] += 1
+            if hit:
+                want.add(before + i)
+        sizes.append(len(a))
+        before += len(a)
+    a, b = (np.array([g for pair in both for g in pair[k]], dtype=np.uint32) for k in (0, 1))
+    assert set(passages._hits(a, b, np.array(sizes), 46, 0.8).tolist()) == want
     assert min(seen[True], seen[False]) > 20
 
 

@@ -19,11 +19,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The model learns from the labelled rows of docs that op5_language learns from.
     """
     model = langid.train(docs.where(C.fold("doc_id", 3) != 1).select("doc_id", "text", "lang"))
-    others = [c for c in docs.columns if c != "text"]
-    # the text goes through Python beside its row, so that nothing has to be joined
-    found = langid.identify(docs.withColumn("text_kept_", F.col("text")), model, [*others, "text_kept_"])
-    kept = found.where(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")).withColumnRenamed("text_kept_", "text")
-    return kept.select(*docs.columns)
+    # the whole row goes through Python, so that nothing has to be joined, under names that clash with none
+    own = {c: f"doc_{c}" for c in docs.columns}
+    found = langid.identify(docs.withColumnsRenamed(own), model, list(own.values()), text=own["text"])
+    kept = found.where(F.col("lang_pred") != "und").withColumn(own["lang"], F.col("lang_pred"))
+    return kept.select(*[F.col(name).alias(c) for c, name in own.items()])
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

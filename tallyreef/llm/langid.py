@@ -187,11 +187,11 @@ def identify(docs: DataFrame, model: Model, carry: list[str], text: str = "text"
 
     def run(batches):
         m = sent.value
-        for pdf in C.slabs(batches, "text_", 1_500_000):
-            texts = C.texts_of(pdf["text_"])
+        for pdf in C.slabs(batches, name, 1_000_000):
+            texts, pdf = C.texts_of(pdf[name]), pdf if text in carry else pdf.drop(columns=name)
             lettered = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
             if not m.langs:
-                yield pdf.drop(columns="text_").assign(lang_pred="und", score=0.0, bits=0.0)
+                yield pdf.assign(lang_pred="und", score=0.0, bits=0.0)
                 continue
             counts, sizes = m.phrases(texts)
             bits = counts * cost
@@ -199,8 +199,9 @@ def identify(docs: DataFrame, model: Model, carry: list[str], text: str = "text"
             least = bits[np.arange(len(texts)), best]
             share = 1.0 / np.exp2(-np.minimum(bits - least[:, None], 60.0)).sum(axis=1)
             langs = np.where(lettered, np.array(m.langs, dtype=object)[best], "und")
-            yield pdf.drop(columns="text_").assign(lang_pred=langs, score=np.where(lettered, share, 0.0), bits=least / np.maximum(sizes, 1))
+            yield pdf.assign(lang_pred=langs, score=np.where(lettered, share, 0.0), bits=least / np.maximum(sizes, 1))
 
-    chosen = docs.select(*carry, F.col(text).alias("text_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "text_")
+    name = text if text in carry else "text_"
+    chosen = docs.select(*carry, *([] if text in carry else [F.col(text).alias(name)]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in carry)
     return chosen.mapInPandas(run, schema + ", lang_pred string, score double, bits double")

@@ -90,23 +90,36 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        # known pieces by their hashes in order, and the slot of each
+        self.known, self.slots = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
-        self.at, self.many = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        many = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        n, total = len(self.known), int(many.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(got) > len(self.at):
+        self.at, self.many = np.zeros(1 << 14, dtype=np.int32), np.zeros(1 << 14, dtype=np.int32)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes among the known ones, and which of them are known."""
+        place = np.searchsorted(self.known, hashes)
+        if not len(self.known):
+            return place, np.zeros(len(hashes), dtype=bool)
+        return place, self.known[np.minimum(place, len(self.known) - 1)] == hashes
+
+    def _learn(self, hashes: np.ndarray, words: list[str], few: int = 4096) -> None:
+        """Encode words, a few at a time, as the library's results are large; hashes are in order."""
+        n = len(self.known)
+        while n + len(words) > len(self.at):
             self.at, self.many = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.many))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), dtype=np.int32, count=total)
-        self.many[n : n + len(got)] = many
-        self.at[n : n + len(got)] = self.used + np.cumsum(many) - many
-        self.used += total
-        self.known.update(zip(hashes, range(n, n + len(got)), strict=True))
+        for k in range(0, len(words), few):
+            got = [e.ids for e in self.tokenizer.encode_batch(words[k : k + few], add_special_tokens=False)]
+            many = np.fromiter(map(len, got), dtype=np.int32, count=len(got))
+            total = int(many.sum())
+            while self.used + total > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), dtype=np.int32, count=total)
+            self.many[n + k : n + k + len(got)] = many
+            self.at[n + k : n + k + len(got)] = self.used + np.cumsum(many) - many
+            self.used += total
+        place = np.searchsorted(self.known, hashes)
+        self.slots = np.insert(self.slots, place, np.arange(n, n + len(words), dtype=np.int32))
+        self.known = np.insert(self.known, place, hashes)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         plain = [not any(s in t for s in self.special) for t in texts]
@@ -131,14 +144,12 @@ class Encoder:
         ends = np.append(starts[1:], len(points))
         hashes = C.span_hashes(np.frombuffer(data, dtype=np.uint8), byte_at[starts], byte_at[ends])
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        ids = [self.known.get(h) for h in distinct.tolist()]
-        new = [k for k, i in enumerate(ids) if i is None]
-        if new:
-            self._learn([int(distinct[k]) for k in new], [whole[starts[where[k]] : ends[where[k]]] for k in new])
-            for k in new:
-                ids[k] = self.known[int(distinct[k])]
-        slot = np.array(ids, dtype=np.int64)[back]
-        many = self.many[slot]
+        known = self._find(distinct)[1]
+        if not known.all():
+            new = where[~known]
+            self._learn(distinct[~known], [whole[x:y] for x, y in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        slot = self.slots[self._find(distinct)[0]][back]
+        many = self.many[slot].astype(np.int64)
         after = np.cumsum(many)
         flat = self.flat[np.repeat(self.at[slot] - (after - many), many) + np.arange(after[-1])]
         bounds = np.concatenate([[0], after])[np.searchsorted(starts, np.append(edges, len(points)))]
@@ -192,7 +203,7 @@ def encode_texts(docs: DataFrame, path: str, end_id: int, key: list[str], id_col
 
     def run(batches):
         encode = encoder(path)
-        for pdf in C.slabs(batches, "text_", 1_000_000):
+        for pdf in C.slabs(batches, "text_", 500_000):
             ids = [np.append(x, end_id) for x in encode(C.texts_of(pdf["text_"]))]
             wide = [4 if x.max() > 0xFFFF else 2 for x in ids]
             yield pdf.drop(columns="text_").assign(width=np.array(wide, dtype=np.int32), ids=[x.astype("<u4" if w == 4 else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)])

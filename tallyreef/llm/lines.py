@@ -101,7 +101,7 @@ def links(lines: DataFrame, edits: int, crowd: int = 64) -> DataFrame:
     rows = _keyed(lines, edits)
     shared = C.keep(_shared(rows), "keys")
     met = C.keep(rows.join(shared.hint("merge"), "key"), "met")
-    held = C.keep(_counted(lines.join(met.select("id").distinct(), "id", "left_semi")), "held")
+    held = C.keep(_counted(lines.join(met.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")), "held")
     found = [C.keep(_near(met.where(F.col("members") <= crowd), held, edits), "near")]
     crowded, spare = met.where(F.col("members") > crowd), [shared, met, held]
     if not crowded.isEmpty():

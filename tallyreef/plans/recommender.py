@@ -253,6 +253,6 @@ for _n, _o, _q in (
     ("choose_users_distant", lambda: [F.desc("dist"), "v"], "dist DESC, v"),
 ):
     reg(_n, _chosen(_o), f"SELECT user_id, item_id, v, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY {_q}) AS rank FROM ({RATERS})) WHERE rank <= 5")
-reg("raters_by_similarity", lambda s, d: ranked(raters(s, d), ["user_id", "item_id"], ["dist", "v"]).where("user_id <= 5").select("user_id", "item_id", "v", "rank", r6("dist").alias("dist")), f"SELECT user_id, item_id, v, rank, {q6('dist')} AS dist FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY dist, v) AS rank FROM ({RATERS})) WHERE user_id <= 5")
+reg("raters_by_similarity", lambda s, d: ranked(raters(s, d), ["user_id", "item_id"], ["dist", "v"]).select("user_id", "item_id", "v", "rank", r6("dist").alias("dist")), f"SELECT user_id, item_id, v, rank, {q6('dist')} AS dist FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY dist, v) AS rank FROM ({RATERS}))")
 reg("sim_raters_per_item", lambda s, d: P.neighbour_ratings(S.knn_cosine(V.ratings_dense(s, d), K), V.ratings_dense(s, d)).groupBy(F.col("u").alias("user_id"), "item_id").agg(F.count("*").alias("n")), "SELECT u AS user_id, item_id, count(*) AS n FROM knn JOIN ratings_dense r ON r.user_id = v GROUP BY 1, 2")
 reg("posneg_pred", lambda s, d: pred(s, d).join(V.ratings_dense(s, d).groupBy("user_id").agg(F.avg("rating").alias("mean")), "user_id").select("user_id", "item_id", F.when(r6("pred") > r6("mean"), "positive").otherwise("negative").alias("polarity")), "SELECT p.user_id, item_id, CASE WHEN round(pred + 2.3e-10, 6) > round(mean + 2.3e-10, 6) THEN 'positive' ELSE 'negative' END AS polarity FROM pred_mean p JOIN (SELECT user_id, avg(rating) AS mean FROM ratings_dense GROUP BY 1) m ON m.user_id = p.user_id")

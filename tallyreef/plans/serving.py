@@ -53,7 +53,7 @@ reg("app_point_size", lambda s, d: ph(s, d).groupBy("cluster").agg((F.count("*")
 _one = list(THEMES)[3]
 reg("app_theme_points", lambda s, d: V.items(s, d).where(F.col("cluster").isin(THEMES[_one])).select("item_id", "cluster", "name"), f"SELECT item_id, cluster, name FROM items WHERE cluster IN ({', '.join(map(str, THEMES[_one]))})")
 reg("app_cluster_view", lambda s, d: points(s, d).select("cluster", *_xyz()).groupBy("cluster").agg(*[r6(F.avg(c), 5).alias(c) for c in "xyz"], F.count("*").alias("n")), f"SELECT cluster, {', '.join(f'{q6(f'avg({c})', 5)} AS {c}' for c in 'xyz')}, count(*) AS n FROM {PTS} GROUP BY 1")
-reg("app_item_card", lambda s, d: V.items(s, d).where("item_id <= 100").join(V.comments(s, d).where("polarity = 'positive'").groupBy(F.col("item_id").alias("i")).agg(F.min("review_id").alias("summary")), F.col("item_id") == F.col("i"), "left").select("item_id", "name", X.first_tags(F.col("tags")).alias("type"), theme_col().alias("theme"), "summary"), "SELECT i.item_id, name, array_to_string(string_split(tags, '|')[1:2], ', ') AS type, CASE cluster " + " ".join(f"WHEN {c} THEN '{t}'" for t, cs in THEMES.items() for c in cs) + " END AS theme, s.summary FROM items i LEFT JOIN (SELECT item_id, min(review_id) AS summary FROM comments WHERE polarity = 'positive' GROUP BY 1) s ON s.item_id = i.item_id WHERE i.item_id <= 100")
+reg("app_item_card", lambda s, d: V.items(s, d).join(V.comments(s, d).where("polarity = 'positive'").groupBy(F.col("item_id").alias("i")).agg(F.min("review_id").alias("summary")), F.col("item_id") == F.col("i"), "left").select("item_id", "name", X.first_tags(F.col("tags")).alias("type"), theme_col().alias("theme"), "summary"), "SELECT i.item_id, name, array_to_string(string_split(tags, '|')[1:2], ', ') AS type, CASE cluster " + " ".join(f"WHEN {c} THEN '{t}'" for t, cs in THEMES.items() for c in cs) + " END AS theme, s.summary FROM items i LEFT JOIN (SELECT item_id, min(review_id) AS summary FROM comments WHERE polarity = 'positive' GROUP BY 1) s ON s.item_id = i.item_id")
 
 # --- scores --------------------------------------------------------------------------------------------------------
 
@@ -62,7 +62,7 @@ reg("score_display", lambda s, d: pred(s, d).select("user_id", "item_id", r6(M.s
 
 def app_colors(s, d):
     """Colour of each item for a user: blue where rated, pink where recommended, else red to green by prediction."""
-    p = pred(s, d).where("user_id <= 20").select("user_id", "item_id", M.clip(r6(M.stored_score(F.col("pred"))), 0.0, 1.0).alias("p"))
+    p = pred(s, d).select("user_id", "item_id", M.clip(r6(M.stored_score(F.col("pred"))), 0.0, 1.0).alias("p"))
     rated = V.ratings_dense(s, d).select("user_id", "item_id", F.lit(True).alias("rated"))
     top = P.recommend(P.unseen(pred(s, d), V.ratings_dense(s, d)), 5).select("user_id", "item_id", F.lit(True).alias("top"))
     rgb = (lambda *x: F.array(*[F.lit(c).cast(L) for c in x]))
@@ -70,7 +70,7 @@ def app_colors(s, d):
     return p.join(rated, ["user_id", "item_id"], "left").join(top, ["user_id", "item_id"], "left").select("user_id", "item_id", color.alias("color"))
 
 
-reg("app_colors", app_colors, f"""WITH t AS (SELECT user_id, item_id FROM ({UNSEEN}) WHERE rank <= 5), p AS (SELECT user_id, item_id, greatest(least({q6('greatest(least(pred - 2, 10.0), 0.0) / 8')}, 1.0), 0.0) AS p FROM pred_mean WHERE user_id <= 20)
+reg("app_colors", app_colors, f"""WITH t AS (SELECT user_id, item_id FROM ({UNSEEN}) WHERE rank <= 5), p AS (SELECT user_id, item_id, greatest(least({q6('greatest(least(pred - 2, 10.0), 0.0) / 8')}, 1.0), 0.0) AS p FROM pred_mean)
 SELECT p.user_id, p.item_id, CASE WHEN r.item_id IS NOT NULL THEN [0, 0, 255] WHEN t.item_id IS NOT NULL THEN [255, 105, 180] ELSE [CAST(trunc(255 * (1 - p)) AS INT), CAST(trunc(255 * p) AS INT), 0] END AS color FROM p LEFT JOIN ratings_dense r ON r.user_id = p.user_id AND r.item_id = p.item_id LEFT JOIN t ON t.user_id = p.user_id AND t.item_id = p.item_id""")
 reg("user_item_lists", lambda s, d: V.ratings_dense(s, d).groupBy("user_id").agg(F.array_sort(F.collect_list("item_id")).alias("items")), "SELECT user_id, list(item_id ORDER BY item_id) AS items FROM ratings_dense GROUP BY 1")
 

@@ -34,8 +34,8 @@ reg("min_words", lambda s, d: V.comments(s, d).select("review_id", _nw().alias("
 reg("len_range", lambda s, d: V.comments(s, d).select("review_id", V.word_count(F.col("text")).alias("n_words")).where("n_words BETWEEN 10 AND 300"), r"SELECT * FROM (SELECT review_id, len(list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS n_words FROM comments) WHERE n_words BETWEEN 10 AND 300")
 reg("word_count", lambda s, d: V.comments(s, d).select("review_id", V.word_count(F.col("text")).alias("n_words")), r"SELECT review_id, len(list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS n_words FROM comments")
 # RE2 has neither back-references nor look-ahead: checked by rows and by unit tests
-reg("tokenize_clean", lambda s, d: V.comments(s, d).where("lang = 'fr'").select("review_id", F.posexplode(X.clean_tokens(F.col("text"))).alias("pos", "token")))
-reg("strip_accents", lambda s, d: V.comments(s, d).where("lang = 'fr'").select("review_id", X.strip_accents(F.substring("text", 1, 200)).alias("plain")), f"SELECT review_id, translate(lower(substring(text, 1, 200)), '{X.ACCENTS}', '{X.PLAIN}') AS plain FROM comments WHERE lang = 'fr'")
+reg("tokenize_clean", lambda s, d: V.comments(s, d).select("review_id", F.posexplode(X.clean_tokens(F.col("text"))).alias("pos", "token")))
+reg("strip_accents", lambda s, d: V.comments(s, d).select("review_id", X.strip_accents(F.col("text")).alias("plain")), f"SELECT review_id, translate(lower(text), '{X.ACCENTS}', '{X.PLAIN}') AS plain FROM comments")
 
 
 def lemma_lookup(s, d):

@@ -20,40 +20,57 @@ def _fold_char(c: str) -> str:
     return low if unicodedata.category(low)[0] == "L" else " "
 
 
-def symbols(texts: list[str], most: int = 62) -> np.ndarray:
-    """Class of each code point: 0 for what no text has, 1 for blanks and other marks, further numbers for letters.
+#: Letters beyond the most frequent ones are spelled with this many digits of this base, which covers all code points.
+DIGITS, BASE = 4, 33
 
-    The most frequent letters of the texts get classes of their own, each with its upper case.
-    """
-    counts: dict[str, int] = {}
-    for t in texts:
-        for c in t:
-            counts[c] = counts.get(c, 0) + 1
-    letters: dict[str, int] = {}
-    for c, n in counts.items():
-        if (f := _fold_char(c)) != " ":
-            letters[f] = letters.get(f, 0) + n
-    kept = {c: k + 2 for k, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))[:most])}
-    out = np.zeros(0x110000, dtype=np.uint8)
-    for p in range(0x110000):
-        c = chr(p)
-        if unicodedata.category(c)[0] != "L":
-            out[p] = 1
-    for c, k in kept.items():
-        out[ord(c)] = k
-        if len(c.upper()) == 1:
-            out[ord(c.upper())] = k
-    return out
 
+class Alphabet:
+    """Symbols of texts: 0 for letters that no text has, 1 for blanks and other marks, further numbers for letters.
+
+    The most frequent letters of the texts get symbols of their own, each with its upper case. Where texts have more letters
+    than that, every other letter is spelled with DIGITS symbols for its code point, so that all letters stay apart and the
+    width, the number of symbols, is bounded.
+    """
 
-def spelled(text: str, classes: np.ndarray) -> np.ndarray:
-    """Symbols of a text, with runs of blanks as one."""
-    s = classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    if len(s):
-        held = np.ones(len(s), dtype=bool)
-        held[1:] = (s[1:] != 1) | (s[:-1] != 1)
-        s = s[held]
-    return s
+    def __init__(self, texts: list[str], most: int = 62):
+        counts: dict[str, int] = {}
+        for t in texts:
+            for c in t:
+                counts[c] = counts.get(c, 0) + 1
+        letters: dict[str, int] = {}
+        for c, n in counts.items():
+            if (f := _fold_char(c)) != " ":
+                letters[f] = letters.get(f, 0) + n
+        ranked = sorted(letters, key=lambda c: (-letters[c], c))
+        self.first = len(ranked[:most]) + 2 if len(ranked) > most else 0  # of the digits; 0 where there are none
+        self.width = self.first + BASE if self.first else len(ranked) + 2
+        self.own = np.zeros(0x110000, dtype=np.uint8)
+        for p in range(0x110000):
+            if unicodedata.category(chr(p))[0] != "L":
+                self.own[p] = 1
+        for k, c in enumerate(ranked[:most]):
+            self.own[ord(c)] = k + 2
+            if len(c.upper()) == 1:
+                self.own[ord(c.upper())] = k + 2
+
+    def spelled(self, text: str) -> np.ndarray:
+        """Symbols of a text, with runs of blanks as one."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        s = self.own[points]
+        if self.first and len(rare := np.flatnonzero(s == 0)):
+            folded = {p: ord(_fold_char(chr(p))) for p in np.unique(points[rare]).tolist()}
+            code = np.array([folded[p] for p in points[rare].tolist()], dtype=np.int64)
+            times = np.ones(len(s), dtype=np.int64)
+            times[rare] = DIGITS
+            begin = (np.cumsum(times) - times)[rare]
+            s = np.repeat(s, times)
+            for k in range(DIGITS):
+                s[begin + k] = self.first + code // BASE ** (DIGITS - 1 - k) % BASE
+        if len(s):
+            held = np.ones(len(s), dtype=bool)
+            held[1:] = (s[1:] != 1) | (s[:-1] != 1)
+            s = s[held]
+        return s
 
 
 def automaton(s: np.ndarray, width: int) -> np.ndarray:
@@ -100,11 +117,11 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]], chars: int):
         self.langs = sorted(samples)
-        self.classes = symbols([t for ts in samples.values() for t in ts])
-        self.width = int(self.classes.max()) + 1
+        self.alphabet = Alphabet([t for ts in samples.values() for t in ts])
+        self.width = self.alphabet.width
         tables, self.roots, self.sizes, base = [], [], [], 0
         for lang in self.langs:
-            joined = [spelled(t, self.classes) for t in samples[lang]]
+            joined = [self.alphabet.spelled(t) for t in samples[lang]]
             s = np.concatenate([x for t in joined for x in (t, [0])] or [np.zeros(0)])[:chars].astype(np.int64)
             own = automaton(s[s > 0], self.width)
             begin = np.where(own[0] >= 0, own[0], len(own))[None, :]
@@ -123,7 +140,7 @@ class Model:
         Texts are cut into pieces of so many symbols, which are parsed side by side, each from the root; a cut costs every
         language the same one phrase at most.
         """
-        spelt = [spelled(t, self.classes) for t in texts]
+        spelt = [self.alphabet.spelled(t) for t in texts]
         sizes = np.fromiter(map(len, spelt), dtype=np.int64, count=len(spelt))
         n_pieces = -(-sizes // piece)
         owner = np.repeat(np.arange(len(texts)), n_pieces)
@@ -154,15 +171,21 @@ class Model:
         return out, sizes
 
 
-def train(labelled: DataFrame, chars: int = 60_000, texts: int = 64, prefix: int = 4000, languages: int = 100, id_column: str = "doc_id") -> Model:
-    """Fit on a bounded sample of rows with text and lang: for each of the most frequent languages the texts rows least by
-    hash of the id, of each so many leading characters, and of all these so many characters.
+def train(labelled: DataFrame, chars: int = 60_000, texts: int = 64, prefix: int = 4000, total: int = 480_000, languages: int = 10_000, id_column: str = "doc_id") -> Model:
+    """Fit on a bounded sample of rows with text and lang: for every language the texts rows least by hash of the id, of
+    each so many leading characters, and of all these so many symbols.
 
     The sample is found from ids and languages alone; only its own texts are read after that. The automata of a language
-    take at most 2 * chars states, whatever the corpus holds. Null and empty texts and null languages teach nothing.
+    take at most 2 * chars states, and those of all languages 2 * total: more than total // chars languages share
+    the total evenly. More languages than the bound are refused. Null and empty texts and null languages teach nothing.
     """
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()
+    if len(counted) > languages:
+        raise ValueError(f"the labelled rows have over {languages} languages")
+    chars = min(chars, total // max(1, len(counted)))
+    prefix = min(prefix, max(64, 5 * chars // texts))
+    counts = labelled.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counted], "lang string, n long")
     # ids of least hash: a threshold leaves a few more than are wanted, so that no task ranks a whole language
     low = F.pmod(F.xxhash64(F.col(id_column), F.lit(5)), F.lit(1 << 30))
     some = known.select(id_column, "lang").join(F.broadcast(counts), "lang").withColumn("low", low).where(F.col("low") < F.least(F.lit(1.0), F.lit(2.0 * texts + 100) / F.col("n")) * F.lit(1 << 30))

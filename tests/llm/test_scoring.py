@@ -73,9 +73,9 @@ def test_phrases_are_those_of_a_plain_parse():
     query = ["abra zebra banana fuzz", "", "zzz 123", "qqq"]
     got, _ = m.phrases(query, piece=1000)
     for k, lang in enumerate(m.langs):
-        source = langid.spelled(texts[lang][0], m.classes).tobytes()
+        source = m.alphabet.spelled(texts[lang][0]).tobytes()
         for text, n in zip(query, got[:, k], strict=True):
-            s, at, count = langid.spelled(text, m.classes).tobytes(), 0, 0
+            s, at, count = m.alphabet.spelled(text).tobytes(), 0, 0
             while at < len(s):
                 end = at + 1
                 while end <= len(s) and s[at:end] in source and 0 not in s[at:end]:
@@ -97,6 +97,28 @@ def test_language_of_odd_texts(spark):
     assert {r["lang_pred"] for r in langid.identify(docs(spark, ODD), empty, ["doc_id"]).collect()} == {"und"}
 
 
+def test_letters_beyond_the_frequent_ones_stay_apart():
+    han = [chr(0x4E00 + k) for k in range(300)]
+    kana = [chr(0x30A1 + k) for k in range(80)]
+    rng = random.Random(3)
+    m = langid.Model({"ja": ["".join(rng.choices(kana, k=3000))], "zh": ["".join(rng.choices(han, k=3000))], "en": ["the cat sat on the mat " * 100]}, 20_000)
+    assert m.width <= 2 + 62 + langid.BASE
+    rare = [c for c in han if not m.alphabet.own[ord(c)]]
+    assert len({m.alphabet.spelled(c).tobytes() for c in rare}) == len(rare) > 100
+    counts, _ = m.phrases(["".join(rng.choices(rare, k=60)), "".join(rng.choices(kana, k=60)), "the mat sat on the cat"])
+    assert [m.langs[k] for k in counts.argmin(axis=1)] == ["zh", "ja", "en"]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}x" for _ in range(12)), f"l{k:03}") for k in range(130)]
+    model = langid.train(docs(spark, rows))
+    assert len(model.langs) == 130
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs(spark, rows), model, ["doc_id"]).collect()}
+    assert all(got[k] == lang for k, _, lang in rows)
+    with pytest.raises(ValueError):
+        langid.train(docs(spark, rows), languages=100)
+
+
 def test_language_held_out(spark):
     got = {r["doc_id"]: r for r in queries.op5_language(spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
 
-#: Most shingles of a benchmark that are sent to every task; a larger benchmark is refused.
-MOST_SHINGLES = 500_000
-
-
 def _words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
@@ -60,7 +58,7 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8, radius: int = 16, id_column: str = "doc_id", item_column: str = "item_id", text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8, radius: int = 22, at_once: int = 100_000, id_column: str = "doc_id", item_column: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, hamming, start_word, n_words: the best window of each document for each item it leaks.
 
     A window is as many words of a document as an item has, cut off where the document ends; words are lower-case runs
@@ -70,7 +68,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float =
     multi-index of radius + 1 blocks, which finds all within the radius, and the exact similarity follows. Items of
     fewer than n words are one shingle of them all. Null and wordless texts and items leak nothing; equal items are
     reported each; a document given twice is reported once; documents with a null id are reported under it together;
-    further columns are left out. Items are sent to every task, up to MOST_SHINGLES shingles; a larger benchmark is refused.
+    further columns are left out. About at_once shingles of the items are laid over the documents at a time, and the items'
+    fingerprints are sent to every task where they have no more in all; a larger benchmark takes a scan of the documents
+    for each so many, and its fingerprints are shuffled.
     """
     items = benchmark.select(F.col(item_column).alias("item_id"), _words(F.col(text)).alias("item_words")).where(F.size("item_words") > 0)
     items = items.withColumn("m", F.least(F.lit(n), F.size("item_words")))
@@ -78,39 +78,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float =
     found = items.select("m", "item_size", F.posexplode("item_shingles").alias("offset", "shingle"))
     # the hash of the words one by one, as documents have it
     keyed = found.select("m", "item_size", "offset", F.expr(f"CASE {' '.join(f'WHEN m = {m} THEN xxhash64({', '.join(f'split(shingle, chr(32))[{k}]' for k in range(m))})' for m in range(1, n + 1))} END").alias("hash")).distinct()
-    rows = keyed.limit(MOST_SHINGLES + 1).collect()
-    if len(rows) > MOST_SHINGLES:
-        raise ValueError(f"the benchmark has over {MOST_SHINGLES} shingles")
+    spark, anchors = docs.sparkSession, C.keep(keyed, "anchors")
+    total = items.agg(F.coalesce(F.sum(F.size("item_shingles")), F.lit(0))).first()[0]
+    rounds = max(1, -(-anchors.count() // at_once))
     # explode of a single array gives one row as before, but the optimizer cannot copy what it holds into later expressions
     words = docs.select(F.col(id_column).alias("doc_id"), F.explode(F.array(_words(F.col(text)))).alias("words"))
-    spans = None
-    for m in sorted({r["m"] for r in rows}):
-        own = [r for r in rows if r["m"] == m]
-        hashes = sorted({r["hash"] for r in own})
-        spark = docs.sparkSession
-        anchors = F.broadcast(spark.createDataFrame([(r["hash"], r["offset"], r["item_size"]) for r in own], "hash long, offset int, item_size int"))
-        at = words.withColumn("hits", F.filter(_positions(F.col("words"), m), lambda i: _shingle_hash(F.col("words"), i, m).isin(hashes))).where(F.size("hits") > 0)
-        hits = at.select("doc_id", "words", F.explode("hits").alias("at")).withColumn("hash", _shingle_hash(F.col("words"), F.col("at"), m))
-        laid = hits.join(anchors, "hash")
-        start, end = F.greatest(F.col("at") - F.col("offset"), F.lit(0)), F.least(F.col("at") - F.col("offset") + F.col("item_size"), F.size("words"))
-        cut = laid.select("doc_id", start.alias("start_word"), (end - start).alias("n_words"), F.array_join(F.slice("words", start + 1, end - start), " ").alias("window"), F.lit(m).alias("m")).where(F.col("n_words") >= m)
-        spans = cut if spans is None else spans.unionByName(cut)
-    if spans is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema[id_column].dataType.simpleString()}, item_id {benchmark.schema[item_column].dataType.simpleString()}, similarity double, hamming int, start_word int, n_words int")
+    tables = []
+    for k in range(rounds):
+        rows = anchors.where(F.pmod(F.xxhash64("hash", "offset", "item_size"), F.lit(rounds)) == k).collect()
+        spans = None
+        for m in sorted({r["m"] for r in rows}):
+            own = [r for r in rows if r["m"] == m]
+            hashes = sorted({r["hash"] for r in own})
+            laid_by = F.broadcast(spark.createDataFrame([(r["hash"], r["offset"], r["item_size"]) for r in own], "hash long, offset int, item_size int"))
+            at = words.withColumn("hits", F.filter(_positions(F.col("words"), m), lambda i: _shingle_hash(F.col("words"), i, m).isin(hashes))).where(F.size("hits") > 0)
+            hits = at.select("doc_id", "words", F.explode("hits").alias("at")).withColumn("hash", _shingle_hash(F.col("words"), F.col("at"), m))
+            laid = hits.join(laid_by, "hash")
+            start, end = F.greatest(F.col("at") - F.col("offset"), F.lit(0)), F.least(F.col("at") - F.col("offset") + F.col("item_size"), F.size("words"))
+            cut = laid.select("doc_id", start.alias("start_word"), (end - start).alias("n_words"), F.array_join(F.slice("words", start + 1, end - start), " ").alias("window"), F.lit(m).alias("m")).where(F.col("n_words") >= m)
+            spans = cut if spans is None else spans.unionByName(cut)
+        if spans is not None:
+            tables.append(C.keep(spans.distinct(), "windows"))
+    C.drop(anchors)
+    if not tables:
+        return spark.createDataFrame([], f"doc_id {docs.schema[id_column].dataType.simpleString()}, item_id {benchmark.schema[item_column].dataType.simpleString()}, similarity double, hamming int, start_word int, n_words int")
+    spans = reduce(DataFrame.unionByName, tables)
+    if rounds > 1:
+        spans = spans.distinct()
     # Tables cut the plan here: the optimizer would copy fingerprints and similarities into filters and run them for every row.
-    spans = C.keep(spans.distinct(), "windows")
     windows = spans.withColumn("window_words", F.split("window", " ")).withColumn("shingles", _shingles(F.col("window_words"), F.col("m"))).withColumn("hashes", _hashes(F.col("shingles"))).withColumn("print", fingerprint(F.col("hashes")))
     windows = C.keep(windows.select("doc_id", "start_word", "n_words", "m", "shingles", "print"), "prints")
     cut_windows = windows.withColumn("block", F.explode(_blocks(F.col("print"), radius)))
     index = items.withColumn("hashes", _hashes(F.col("item_shingles"))).withColumn("item_print", fingerprint(F.col("hashes"))).select("item_id", F.col("m").alias("item_m"), "item_shingles", "item_print")
     index = C.keep(index, "items").withColumn("item_block", F.explode(_blocks(F.col("item_print"), radius)))
     away = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = cut_windows.join(F.broadcast(index), (F.col("block") == F.col("item_block")) & (F.col("m") == F.col("item_m")) & (away <= radius))
+    # no similarity is over the ratio of the sizes
+    sizes = (F.size("shingles"), F.size("item_shingles"))
+    alike = F.least(*sizes) >= F.greatest(*sizes) * threshold - 1e-9
+    near = cut_windows.join(F.broadcast(index) if total <= at_once else index, (F.col("block") == F.col("item_block")) & (F.col("m") == F.col("item_m")) & alike & (away <= radius))
     near = near.withColumn("hamming", away.cast("int")).drop("block", "item_block", "print", "item_print").distinct()
     near = C.keep(near, "near")
     scored = near.withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= threshold)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("hamming"), -F.col("start_word"), "n_words")).alias("best"))
-    C.drop(spans, windows)
+    C.drop(*tables, windows)
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.col2")).alias("hamming"), (-F.col("best.col3")).alias("start_word"), F.col("best.n_words").alias("n_words"))
 
 

@@ -112,6 +112,8 @@ def test_leaks_are_those_of_brute_force(spark):
                 want[doc, item] = best
     assert len(want) > 30
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    parted = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(docs(spark, rows), b, at_once=150).collect()}
+    assert parted == got
     kept = {r["doc_id"] for r in decontaminate.without_leaks(docs(spark, rows), b).collect()}
     assert kept == {r[0] for r in rows} - {k[0] for k in want}
 

@@ -196,6 +196,19 @@ def test_passages_across_documents(spark):
     assert passages.repeats(docs(spark, [])).count() == 0
 
 
+def test_every_context_of_a_key_is_kept_from_batch_to_batch(spark):
+    rows = [(7, k, 0, k % 900) for k in range(2700)]
+    table = spark.createDataFrame(rows, "key long, doc long, at int, beside int").coalesce(1).sortWithinPartitions("key", "doc", "at")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        links = table.mapInPandas(passages._meet, "key long, a long, at_a int, b long, at_b int, mark int, part int").where("mark = 0").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = {(r["a"], r["b"]) for r in links}
+    assert got == {(k, k % 900) for k in range(900, 2700)} | {(k, 0) for k in range(1, 2700)}
+
+
 def test_passage_whose_keys_stand_in_other_texts_too(spark):
     """Every n-gram by which the passage is found is frequent, in a context of its own before and between the copies."""
     said = prose(500, 55).split()

@@ -204,9 +204,16 @@ def encode_texts(docs: DataFrame, path: str, end_id: int, key: list[str], id_col
     def run(batches):
         encode = encoder(path)
         for pdf in C.slabs(batches, "text_", 500_000):
-            ids = [np.append(x, end_id) for x in encode(C.texts_of(pdf["text_"]))]
-            wide = [4 if x.max() > 0xFFFF else 2 for x in ids]
-            yield pdf.drop(columns="text_").assign(width=np.array(wide, dtype=np.int32), ids=[x.astype("<u4" if w == 4 else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)])
+            ids = encode(C.texts_of(pdf["text_"]))
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) + 1
+            ends = np.cumsum(size)
+            inside = np.ones(ends[-1], dtype=bool)
+            inside[ends - 1] = False
+            flat = np.full(len(inside), end_id, dtype="<u4")
+            flat[inside] = np.concatenate(ids)
+            width = 4 if flat.max() > 0xFFFF else 2
+            raw = flat.astype(f"<u{width}").tobytes()
+            yield pdf.drop(columns="text_").assign(width=np.int32(width), ids=[raw[a:b] for a, b in zip((ends - size) * width, ends * width, strict=True)])
 
     columns = [F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("doc_id")] + [k for k in key if k != "doc_id"] + [F.col(text).alias("text_")]
     chosen = docs.select(*columns)
@@ -224,9 +231,10 @@ def rank_table(encoded: DataFrame, vocabulary: int) -> pd.DataFrame:
     def run(batches):
         total = np.zeros(vocabulary, dtype=np.int64)
         for pdf in batches:
-            for raw, width in zip(pdf["ids"], pdf["width"], strict=True):
-                x = _ids(raw, width)
-                total += np.bincount(x, minlength=vocabulary)
+            for width, some in pdf.groupby("width"):
+                flat = _ids(b"".join(some["ids"]), width)
+                for k in range(0, len(flat), 1_000_000):
+                    total += np.bincount(flat[k : k + 1_000_000], minlength=vocabulary)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at.astype(np.int32), "n": total[at]})
 

@@ -37,6 +37,16 @@ def _kinds() -> np.ndarray:
     return _state["kinds"]
 
 
+def _spelled(data: np.ndarray) -> str:
+    """Byte-level text of bytes: a character for each byte, its own where that is visible in Latin-1, else the next from 256 on."""
+    if "bytes" not in _state:
+        visible = np.zeros(256, dtype=bool)
+        for low, high in ((0x21, 0x7F), (0xA1, 0xAD), (0xAE, 0x100)):
+            visible[low:high] = True
+        _state["bytes"] = np.where(visible, np.arange(256), 255 + np.cumsum(~visible)).astype("<u2")
+    return _state["bytes"][data].tobytes().decode("utf-16-le")
+
+
 def pieces(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Where the byte-level tokenizer's pattern begins a piece, in the code points of many texts laid end to end.
 
@@ -83,9 +93,12 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.model, split = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        if not isinstance(split, pre_tokenizers.ByteLevel) or split.add_prefix_space or self.tokenizer.normalizer is not None:
+            raise ValueError(f"{path} is not a plain byte-level tokenizer")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
@@ -102,21 +115,22 @@ class Encoder:
             return place, np.zeros(len(hashes), dtype=bool)
         return place, self.known[np.minimum(place, len(self.known) - 1)] == hashes
 
-    def _learn(self, hashes: np.ndarray, words: list[str], few: int = 4096) -> None:
-        """Encode words, a few at a time, as the library's results are large; hashes are in order."""
-        n = len(self.known)
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encode words, pieces in byte-level text, by the library's model; hashes are in order."""
+        n, encode = len(self.known), self.model.tokenize
+        ids: list[int] = []
+        ends = np.zeros(len(words) + 1, dtype=np.int64)
+        for k, word in enumerate(words):
+            ids += [token.id for token in encode(word)]
+            ends[k + 1] = len(ids)
         while n + len(words) > len(self.at):
             self.at, self.many = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.many))
-        for k in range(0, len(words), few):
-            got = [e.ids for e in self.tokenizer.encode_batch(words[k : k + few], add_special_tokens=False)]
-            many = np.fromiter(map(len, got), dtype=np.int32, count=len(got))
-            total = int(many.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), dtype=np.int32, count=total)
-            self.many[n + k : n + k + len(got)] = many
-            self.at[n + k : n + k + len(got)] = self.used + np.cumsum(many) - many
-            self.used += total
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.many[n : n + len(words)] = np.diff(ends)
+        self.at[n : n + len(words)] = self.used + ends[:-1]
+        self.used += len(ids)
         place = np.searchsorted(self.known, hashes)
         self.slots = np.insert(self.slots, place, np.arange(n, n + len(words), dtype=np.int32))
         self.known = np.insert(self.known, place, hashes)
@@ -138,16 +152,17 @@ class Encoder:
         length = np.fromiter(map(len, joined), dtype=np.int64, count=len(joined))
         edges = np.cumsum(length) - length
         starts = pieces(points, edges[length > 0])
-        data = whole.encode("utf-8", "surrogatepass")
+        data = np.frombuffer(whole.encode("utf-8", "surrogatepass"), dtype=np.uint8)
         width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
         byte_at = np.concatenate([[0], np.cumsum(width)])
         ends = np.append(starts[1:], len(points))
-        hashes = C.span_hashes(np.frombuffer(data, dtype=np.uint8), byte_at[starts], byte_at[ends])
+        from_, to = byte_at[starts], byte_at[ends]
+        hashes = C.span_hashes(data, from_, to)
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         known = self._find(distinct)[1]
         if not known.all():
-            new = where[~known]
-            self._learn(distinct[~known], [whole[x:y] for x, y in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            new, spelled = where[~known], _spelled(data)
+            self._learn(distinct[~known], [spelled[x:y] for x, y in zip(from_[new].tolist(), to[new].tolist(), strict=True)])
         slot = self.slots[self._find(distinct)[0]][back]
         many = self.many[slot].astype(np.int64)
         after = np.cumsum(many)

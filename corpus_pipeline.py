@@ -47,7 +47,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     The order is that of the files that the stage before wrote; docs that come from no file go by id.
     """
     if docs.inputFiles():
-        place = docs.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("file_"), F.col("_metadata.file_name").alias("name_"), F.col("_metadata.row_index").alias("row_"))
+        place = docs.select("doc_id", "text", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("file_"), F.col("_metadata.file_name").alias("name_"), F.col("_metadata.row_index").alias("row_"))
         return tokens.token_shards(place, vocabulary_path(), END_ID, order=["file_", "name_", "row_"])
     return tokens.token_shards(docs, vocabulary_path(), END_ID)
 

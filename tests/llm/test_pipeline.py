@@ -23,6 +23,14 @@ def test_stages(spark, tmp_path):
     assert df.agg({"start": "min"}).first()[0] == 0
 
 
+def test_tokens_beside_columns_of_the_same_names(spark):
+    df = docs(spark, [(2, "b c"), (1, None), (3, "d")]).selectExpr("*", "'x' AS file_", "'y' AS name_", "0 AS row_", "1 AS start", "2 AS n_tokens")
+    for given in (df, C.keep(df, "clash")):
+        got = corpus_pipeline.write_tokens(spark, given, "").collect()
+        assert {r["doc_id"] for r in got} == {1, 2, 3}
+        assert sorted(r["start"] for r in got)[0] == 0 and sum(r["n_tokens"] == 1 for r in got) == 1
+
+
 def test_run_on_documents(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]

@@ -17,6 +17,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries on pairs of users or items.
 BY_BLOCKS = """
 cos_pairs_centered
+explain_eval
 """
 
 

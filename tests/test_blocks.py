@@ -18,6 +18,7 @@ SF = "/root/testdata/sf0.001"
 BY_BLOCKS = """
 cos_pairs_centered
 explain_eval
+explain_rouge_groups
 """
 
 

@@ -19,6 +19,7 @@ BY_BLOCKS = """
 cos_pairs_centered
 explain_eval
 explain_rouge_groups
+app_colors
 """
 
 

@@ -20,6 +20,7 @@ cos_pairs_centered
 explain_eval
 explain_rouge_groups
 app_colors
+build_users_info
 """
 
 

@@ -21,6 +21,7 @@ explain_eval
 explain_rouge_groups
 app_colors
 build_users_info
+choose_users_distant
 """
 
 

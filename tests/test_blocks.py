@@ -22,6 +22,7 @@ explain_rouge_groups
 app_colors
 build_users_info
 choose_users_distant
+choose_users_random
 """
 
 

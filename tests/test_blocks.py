@@ -23,6 +23,7 @@ app_colors
 build_users_info
 choose_users_distant
 choose_users_random
+choose_users_similar
 """
 
 

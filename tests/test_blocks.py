@@ -24,6 +24,7 @@ build_users_info
 choose_users_distant
 choose_users_random
 choose_users_similar
+cos_pairs
 """
 
 

@@ -25,6 +25,7 @@ choose_users_distant
 choose_users_random
 choose_users_similar
 cos_pairs
+cos_pairs_activity
 """
 
 

@@ -26,6 +26,7 @@ choose_users_random
 choose_users_similar
 cos_pairs
 cos_pairs_activity
+dist_hist_all
 """
 
 

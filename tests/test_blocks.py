@@ -27,6 +27,7 @@ choose_users_similar
 cos_pairs
 cos_pairs_activity
 dist_hist_all
+dist_hist_knn
 """
 
 

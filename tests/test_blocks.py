@@ -28,6 +28,7 @@ cos_pairs
 cos_pairs_activity
 dist_hist_all
 dist_hist_knn
+eucl_pairs
 """
 
 

@@ -29,6 +29,7 @@ cos_pairs_activity
 dist_hist_all
 dist_hist_knn
 eucl_pairs
+item_cooc_norm
 """
 
 

@@ -30,6 +30,7 @@ dist_hist_all
 dist_hist_knn
 eucl_pairs
 item_cooc_norm
+item_cooc
 """
 
 

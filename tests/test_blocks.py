@@ -31,6 +31,7 @@ dist_hist_knn
 eucl_pairs
 item_cooc_norm
 item_cooc
+knn_cos
 """
 
 

@@ -32,6 +32,7 @@ eucl_pairs
 item_cooc_norm
 item_cooc
 knn_cos
+knn_eval_full
 """
 
 

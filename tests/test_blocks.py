@@ -33,6 +33,7 @@ item_cooc_norm
 item_cooc
 knn_cos
 knn_eval_full
+knn_eval_user
 """
 
 

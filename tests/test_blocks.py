@@ -34,6 +34,7 @@ item_cooc
 knn_cos
 knn_eval_full
 knn_eval_user
+knn_eucl
 """
 
 

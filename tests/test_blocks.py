@@ -35,6 +35,7 @@ knn_cos
 knn_eval_full
 knn_eval_user
 knn_eucl
+knn_eval_per_user
 """
 
 

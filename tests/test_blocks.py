@@ -36,6 +36,7 @@ knn_eval_full
 knn_eval_user
 knn_eucl
 knn_eval_per_user
+knn_k_sweep
 """
 
 

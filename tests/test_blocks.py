@@ -37,6 +37,7 @@ knn_eval_user
 knn_eucl
 knn_eval_per_user
 knn_k_sweep
+knn_predict
 """
 
 

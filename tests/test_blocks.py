@@ -38,6 +38,7 @@ knn_eucl
 knn_eval_per_user
 knn_k_sweep
 knn_predict
+knn_predict_wcount
 """
 
 

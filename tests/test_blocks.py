@@ -11,14 +11,12 @@ import pytest
 from tallyreef.operators import blocks as B
 from tallyreef.operators import similarity as S
 from tallyreef.operators import tags as G
-from tallyreef.plans import registry
+from tallyreef.plans import recommender, registry
 
 SF = "/root/testdata/sf0.001"
 #: Queries on pairs of users or items.
 BY_BLOCKS = """
 cos_pairs_centered
-explain_eval
-explain_rouge_groups
 app_colors
 build_users_info
 choose_users_distant
@@ -52,10 +50,17 @@ def plan(df):
 @pytest.mark.parametrize("name", BY_BLOCKS.split())
 def test_no_shuffle_by_pair(spark, name):
     found = plan(registry.queries()[name](spark, SF))
+    assert "CartesianProduct" in found
     assert not re.search(r"hashpartitioning\((u|user_id|a)#\d+L?, (v|b)#", found)
     assert not re.search(r"Join \[(item_id|tag)#\d+L?\], \[(item_id|tag)#\d+L?\], Inner, .*<", found)
 
 
+def test_raters_of_some_users(spark):
+    of = (lambda df: sorted(map(tuple, df.select("user_id", "item_id", "v", "dist").collect())))
+    some = of(recommender.raters(spark, SF, "user_id < 9"))
+    assert some and some == of(recommender.raters(spark, SF).where("user_id < 9 AND v < 9"))
+
+
 @pytest.fixture(scope="module")
 def rows():
     r = random.Random(5)

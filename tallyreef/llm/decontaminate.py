@@ -125,6 +125,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float =
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """Rows of docs whose id no leak names."""
-    found = leaks(docs, benchmark, id_column=id_column, **options).select(F.col("doc_id").alias("leaked_")).distinct()
+    """Rows of docs whose id no leak names.
+
+    The ids are written first, so that their size is known: documents are shuffled only where these are too many to be sent to every task.
+    """
+    found = C.keep(leaks(docs, benchmark, id_column=id_column, **options).select(F.col("doc_id").alias("leaked_")).distinct(), "leaked")
     return docs.join(found, F.col(id_column).eqNullSafe(F.col("leaked_")), "left_anti")

@@ -225,8 +225,9 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame
     from pyspark.sql import Window
 
     got = classes(docs, id_column=id_column, **options)
-    kept = got.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row_"), F.col(id_column).cast("long").alias("id_"), F.col("text").alias("text_"))
-    chosen = rows.join(kept, F.col("id_").eqNullSafe(F.col("kept_")), "left_semi")
-    once = Window.partitionBy("id_").orderBy("text_")
-    return chosen.withColumn("n_", F.row_number().over(once)).where("n_ = 1").select("row_.*")
+    known = (lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)))
+    kept = got.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(known("doc_id").alias("id_")).distinct()
+    # a row travels once, with one copy of its text: the join and the window deal it by the same key
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), known(id_column).alias("id_"))
+    once = Window.partitionBy("id_").orderBy("row_.text")
+    return rows.join(kept, "id_", "left_semi").withColumn("n_", F.row_number().over(once)).where("n_ = 1").select("row_.*")

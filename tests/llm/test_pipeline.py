@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from tallyreef.llm import _common as C
+from tallyreef.llm import decontaminate, jaccard
 
 from .helpers import docs, prose
 
@@ -37,3 +38,27 @@ def test_run_on_documents(spark):
     rows = sorted(map(tuple, got.collect()), key=lambda r: r[1])
     assert all(a[1] + a[2] == b[1] for a, b in zip(rows[:-1], rows[1:]))
     assert len({r[0] for r in rows}) == len(rows) > 100
+
+
+def _exchanges(df) -> list[str]:
+    """Shuffles by key in the first plan."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_texts_are_shuffled_once_for_the_least_ids(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.keep_one(docs(spark, [(k, prose(k // 2)) for k in range(20)] + [(None, prose(99)), (None, prose(99))]))
+        # one for the rows and one or two for the ids that are kept
+        assert sum("id_#" in line for line in _exchanges(kept)) <= 3 and "text_" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == list(range(0, 20, 2)) and kept.where("doc_id IS NULL").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_documents_are_not_shuffled_for_few_leaks(spark):
+    item = prose(900, 30)
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.without_leaks(C.keep(docs(spark, [(k, prose(k)) for k in range(5)] + [(9, f"{prose(7)} {item}")]), "docs"), b)
+    assert not _exchanges(kept)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(5))

@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tallyreef.operators import blocks as B
@@ -97,3 +98,19 @@ def test_tags_in_common(spark, monkeypatch):
     t = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "b"), (4, "c"), (5, "a")], "item_id long, tag string")
     assert {(x["a"], x["b"]): x["n"] for x in G.item_pairs(t).collect()} == {(1, 2): 2, (1, 3): 1, (1, 5): 1, (2, 3): 1, (2, 5): 1}
     assert {(x["a"], x["b"]): x["weight"] for x in G.item_pairs(t, weighted=True).collect()} == {(1, 2): 0.5, (1, 3): 0.5, (1, 5): 0.5, (2, 3): 0.5, (2, 5): 0.5}
+
+
+@pytest.mark.parametrize("kind", ["cosine", "euclidean"])
+def test_far_owners_are_not_rounded(monkeypatch, kind):
+    rng, seen = np.random.RandomState(5), []
+
+    def block(number, at):
+        xs = rng.rand(100, 8) + 0.1
+        return B.Block(number, at + np.arange(100), np.arange(8), (np.arange(101) * 8).astype(np.int64).tobytes(), np.tile(np.arange(8), 100).astype(np.int32).tobytes(), xs.tobytes(), np.sqrt((xs**2).sum(axis=1)).tobytes(), np.full(100, 8, dtype=np.int64).tobytes())
+
+    real = S.rounded
+    monkeypatch.setattr(S, "rounded", lambda x, *how: seen.append(x.size) or real(x, *how))
+    one, found = block(0, 0), S._Nearest(kind, 3)
+    for k in range(1, 6):
+        found.meet(one, block(k, 100 * k))
+    assert sum(seen) < 100 * 100 and len(next(found.done())) == 300

@@ -114,3 +114,15 @@ def test_far_owners_are_not_rounded(monkeypatch, kind):
     for k in range(1, 6):
         found.meet(one, block(k, 100 * k))
     assert sum(seen) < 100 * 100 and len(next(found.done())) == 300
+
+
+def test_blocks_are_as_many_as_they_need_be(spark, monkeypatch, rows):
+    monkeypatch.setattr(B, "SIZE", 30)
+    r = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = [len(x["owners"]) for x in B.packed(r, "user_id", "item_id", "rating", 3).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(got) == [24, 25]

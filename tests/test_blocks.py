@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from tallyreef.operators import blocks as B
+from tallyreef.operators import predict as P
 from tallyreef.operators import similarity as S
 from tallyreef.operators import tags as G
 from tallyreef.plans import recommender, registry
@@ -126,3 +127,20 @@ def test_blocks_are_as_many_as_they_need_be(spark, monkeypatch, rows):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sorted(got) == [24, 25]
+
+
+def test_means_of_neighbours(spark, monkeypatch, rows):
+    """With null ratings, a null item and neighbours that rated nothing; no row is shuffled for each of a neighbour's ratings."""
+    monkeypatch.setattr(B, "SIZE", 7)
+    rated = [*rows, (1, 77, None), (2, 77, 4.0), (3, None, 2.0), (4, None, None), (5, 78, None)]
+    r = spark.createDataFrame(rated, "user_id long, item_id long, rating double")
+    near = [(u, v) for u in range(12) for v in (u + 1, u + 2, u + 500)]
+    got = P.by_mean(spark.createDataFrame([(u, v, 0.5, 1) for u, v in near], "u long, v long, dist double, rank long"), r)
+    want = {}
+    for u, v in near:
+        for w, i, x in rated:
+            if w == v:
+                want.setdefault((u, i), []).append(x)
+    means = {k: [x for x in xs if x is not None] for k, xs in want.items()}
+    assert {(x["user_id"], x["item_id"]): (x["pred"], x["n"]) for x in got.collect()} == {k: (pytest.approx(sum(means[k]) / len(means[k])) if means[k] else None, len(xs)) for k, xs in want.items()}
+    assert "Aggregate" not in plan(got) and "SortMergeJoin" not in plan(got)

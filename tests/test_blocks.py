@@ -144,3 +144,9 @@ def test_means_of_neighbours(spark, monkeypatch, rows):
     means = {k: [x for x in xs if x is not None] for k, xs in want.items()}
     assert {(x["user_id"], x["item_id"]): (x["pred"], x["n"]) for x in got.collect()} == {k: (pytest.approx(sum(means[k]) / len(means[k])) if means[k] else None, len(xs)) for k, xs in want.items()}
     assert "Aggregate" not in plan(got) and "SortMergeJoin" not in plan(got)
+
+
+def test_colors_deal_predictions_out_once(spark):
+    found = plan(registry.queries()["app_colors"](spark, SF))
+    after = found[: found.index("CartesianProduct")]
+    assert after.count("Exchange") == 1 and "Join" not in after

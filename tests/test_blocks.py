@@ -13,7 +13,9 @@ from tallyreef.operators import blocks as B
 from tallyreef.operators import predict as P
 from tallyreef.operators import similarity as S
 from tallyreef.operators import tags as G
+from tallyreef.operators import text as T
 from tallyreef.plans import recommender, registry
+from tallyreef.sources import views
 
 SF = "/root/testdata/sf0.001"
 #: Queries on pairs of users or items.
@@ -150,3 +152,12 @@ def test_colors_deal_predictions_out_once(spark):
     found = plan(registry.queries()["app_colors"](spark, SF))
     after = found[: found.index("CartesianProduct")]
     assert after.count("Exchange") == 1 and "Join" not in after
+
+
+def test_terms_are_dealt_out_once(spark):
+    of = (lambda df: sorted(map(tuple, df.select("user_id", "item_id", "gram").collect())))
+    got = of(views.comment_bigrams(spark, SF))
+    assert got and got == of(T.bigrams(views.lemmas(spark, SF)))
+    found = plan(registry.queries()["explain_rouge_groups"](spark, SF))
+    assert "FullOuter" not in found and not re.search(r"hashpartitioning\([^)]*term#", found)
+    assert not re.search(r"hashpartitioning\(review_id#", found)

@@ -30,6 +30,30 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
+def contexts(words: np.ndarray, edges: np.ndarray, n: int, least: int, owner: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the n-grams that sequences of least n-grams hold which hold the one at a place and its whole side before it, or after it."""
+    grams = C.shingles(words, n)
+    up, down = C._table(len(grams) + 1)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(C.mixed(grams) * up[: len(grams)], dtype=np.uint64)])
+    place, ends = edges[owner] + at, edges[owner + 1] - n + 1
+    out = []
+    for before in reaches(least):
+        low, high = place - before, place - before + wide(least)
+        lo, hi = np.maximum(low, edges[owner]), np.minimum(high, ends)
+        out.append(C.mixed((sums[hi] - sums[lo]) * down[lo] + C.mixed(((lo - low) << 32 | (high - hi)).astype(np.uint64))))
+    return out
+
+
+def reaches(least: int) -> tuple[int, int]:
+    """How far contexts of the side before and of the side after begin before their n-gram."""
+    return least - 1, least - 1 - (least - 1) // 2
+
+
+def wide(least: int) -> int:
+    """N-grams of a context: those of all sequences that hold one side whole."""
+    return 2 * least - 1 - (least - 1) // 2
+
+
 def compact_windows(words: np.ndarray, edges: np.ndarray, n: int, least: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(owners, keys, places, before, after) of the compact windows of many texts laid end to end, whose words begin at edges.
 
@@ -187,8 +211,9 @@ def _gathered(batches, rows):
 def _meet(batches):
     """Links of rows (key, doc, at, beside) in order of key, and at the ends of the range the leaders of its first and last key.
 
-    A row is linked to the least document of its key in the range that has the same least n-grams on both sides, and to the
-    least of all its key if that is another one. All rows of these are carried on, 24 bytes each and no more than the range
+    A row is linked to the least document of its key in the range that has the same context beside its n-gram, and to the least of all its key
+    if that is another one. The first row of each context in the range is given too, with mark 3,
+    and one of another document where a document is the first of two contexts. All rows of these are carried on, 28 bytes each and no more than the range
     has; as many rows are gathered before they are held against them, so that the work stays in proportion.
     """
     from pyspark import TaskContext
@@ -200,7 +225,11 @@ def _meet(batches):
             own, pdf = len(carried), pd.concat([carried, pdf], ignore_index=True)
         key, doc, at, beside = (pdf[c].to_numpy() for c in ("key", "doc", "at", "beside"))
         run = np.cumsum(np.append(True, key[1:] != key[:-1]))
-        lead, like = _paired(run, doc), _paired((run << 32) | beside.view(np.uint32), doc)
+        order = np.lexsort((beside, run))
+        fresh = np.append(True, (run[order][1:] != run[order][:-1]) | (beside[order][1:] != beside[order][:-1]))
+        group = np.empty(len(key), dtype=np.int64)
+        group[order] = np.cumsum(fresh) - 1
+        lead, like = _paired(run, doc), _paired(group, doc)
         row = np.arange(own, len(key))
         other = row[doc[like[row]] != doc[lead[row]]]
         a, b = np.concatenate([row, other]), np.concatenate([like[row], lead[other]])
@@ -208,6 +237,14 @@ def _meet(batches):
         if carried is None:
             yield pd.DataFrame({"key": key[:1], "a": doc[:1], "at_a": at[:1], "b": doc[:1], "at_b": at[:1], "mark": 1, "part": part})
         yield pd.DataFrame({"key": key[a], "a": doc[a], "at_a": at[a], "b": doc[b], "at_b": at[b], "mark": 0, "part": part})
+        # a context's first row is the first of its group, as carried rows stand before the others
+        first = order[fresh]
+        _, held, times = np.unique(np.stack([run[first], doc[first]]), axis=1, return_inverse=True, return_counts=True)
+        second = np.flatnonzero((times[held.reshape(-1)] > 1)[group] & (doc != doc[first[group]]))
+        second = second[np.unique(group[second], return_index=True)[1]]
+        first = np.concatenate([first, second])
+        first = first[first >= own]
+        yield pd.DataFrame({"key": key[first], "a": doc[first], "at_a": at[first], "b": doc[first], "at_b": at[first], "mark": 3, "part": part})
         last = run == run[-1]
         leads = np.flatnonzero(last & (doc[lead] == doc))
         likes = np.flatnonzero(last & (doc[like] == doc) & (doc[lead] != doc))
@@ -217,6 +254,159 @@ def _meet(batches):
         yield pd.DataFrame({"key": first["key"], "a": first["doc"], "at_a": first["at"], "b": first["doc"], "at_b": first["at"], "mark": 2, "part": part})
 
 
+#: Bits by which many contexts are compared before all of their n-grams are, and pairs of them remembered as compared.
+BITS, TRIED = 64_000_000, 20_000_000
+
+
+def _others(key: np.ndarray, doc: np.ndarray, grams: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int, threshold: float):
+    """Pairs of rows of one key, in order of key and doc, that have similar windows at the same place of their contexts.
+
+    grams holds a row's context, of which begin to end lie in its text. Exact, without meeting all pairs: two windows of width n-grams that
+    may differ in so many share one of that many and one more that are the rarest of their key in either. Rows meet those with
+    which a window shares such a one, least documents first, until each window is found in a lesser document or all were met.
+    """
+    common = np.arange(width + 1)
+    differ = width - int(common[common >= threshold * (2 * width - common) - 1e-9][0])
+    n, size = grams.shape
+    offsets = np.arange(size - width + 1)
+    inside = (np.arange(size) >= begin[:, None]) & (np.arange(size) < end[:, None])
+    run = np.cumsum(np.append(True, key[1:] != key[:-1])).astype(np.uint64)
+    codes = np.unique((run[:, None] << np.uint64(32) | grams)[inside], return_inverse=True, return_counts=True)
+    order = np.argsort(codes[2], kind="stable")
+    by = np.empty(len(order), dtype=np.int64)
+    by[order] = np.arange(len(order))  # rarest first
+    rank = np.full(grams.shape, len(order), dtype=np.int64)
+    rank[inside] = by[codes[1]]
+    lone = int((codes[2] == 1).sum())  # ranks below it stand once in their key
+    sums = np.concatenate([np.zeros((n, 1), dtype=np.int64), np.cumsum(rank < lone, axis=1)], axis=1)
+    open_ = (begin[:, None] <= offsets) & (offsets + width <= end[:, None]) & (sums[:, width:] - sums[:, : len(offsets)] <= differ)
+    valid = open_.copy()
+    rows, at = np.nonzero(open_)
+    shown = np.lib.stride_tricks.sliding_window_view(rank, width, axis=1)
+    least = [np.zeros((0, differ + 1), dtype=np.int64)]
+    for some in np.array_split(np.arange(len(rows)), -(-len(rows) // 20_000) or 1):
+        if len(some):
+            least.append(np.partition(shown[rows[some], at[some]], differ, axis=1)[:, : differ + 1])
+    least = np.concatenate(least) * n + rows[:, None]
+    posts = np.unique(least[least >= lone * n])
+    what, who = posts // n, posts % n
+    start, stop = np.searchsorted(what, what), np.searchsorted(what, what, "right")
+    slots = max(256, min(4096, BITS // n))
+    bits = np.zeros((n, slots), dtype=bool)
+    bits[np.nonzero(inside)[0], rank[inside] % slots] = True
+    rank, place = rank.astype(np.int32), (rank % slots).astype(np.int16)
+    shown = np.lib.stride_tricks.sliding_window_view(rank, width, axis=1)
+
+    def counted(x):
+        sums = np.zeros((len(x), size + 1), dtype=np.int16)
+        np.cumsum(x, axis=1, out=sums[:, 1:])
+        return sums[:, width:] - sums[:, : len(offsets)]
+
+    def alike(x, y, lesser):
+        """Where windows of x and of y are similar: by n-grams at the same place, else by all where y has enough of x's at all."""
+        both = valid[x] & valid[y]
+        hit = both & (counted(rank[x] == rank[y]) >= width - differ)
+        left = both & open_[x] & (lesser[:, None] | ~found[x]) & ~hit
+        some = np.flatnonzero(left.any(axis=1))
+        left[some] &= counted(bits[y[some][:, None], place[x[some]]]) >= width - differ
+        k, l = np.nonzero(left)
+        for few in np.array_split(np.arange(len(k)), -(-len(k) // 2000) or 1):
+            if len(few):
+                one, two = (_numbered(shown[z[k[few]], l[few]].astype(np.int64), width) for z in (x, y))
+                one = np.sort(np.concatenate([one, two], axis=1), axis=1)
+                hit[k[few], l[few]] = (one[:, 1:] == one[:, :-1]).sum(axis=1) >= width - differ
+        return hit
+
+    found, lo, step = np.zeros_like(open_), 0, 1
+    tried = np.zeros(0, dtype=np.int64)
+    while True:
+        # windows found in greater documents alone look for lesser ones only
+        need = open_[rows, at]
+        any_ = need & ~found[rows, at]
+        seek = np.searchsorted(posts, np.unique(least[need][least[need] >= lone * n]))
+        all_ = np.zeros(len(posts), dtype=bool)
+        all_[np.searchsorted(posts, np.unique(least[any_][least[any_] >= lone * n]))] = True
+        till = np.where(all_[seek], stop[seek], seek)
+        here = start[seek] + lo < till
+        seek, till = seek[here], till[here]
+        if not len(seek):
+            break
+        counts = np.minimum(till - start[seek] - lo, step)
+        cut, before = np.cumsum(counts) // 200_000, tried
+        for some in np.split(np.arange(len(seek)), np.flatnonzero(np.diff(cut)) + 1):
+            x = np.repeat(who[seek[some]], counts[some])
+            y = who[_places(counts[some], start[seek[some]] + lo)]
+            pair = np.unique((x * n + y)[doc[x] != doc[y]])
+            pair = pair[~np.isin(pair, tried, assume_unique=True)]
+            tried = np.union1d(tried, pair) if len(before) + len(pair) < TRIED else pair
+            for few in np.array_split(pair, -(-len(pair) // 10_000) or 1):
+                x, y = few // n, few % n
+                if not len(x):
+                    continue
+                lesser = doc[y] < doc[x]
+                hit = alike(x, y, lesser)
+                k, l = np.nonzero(hit & open_[x] & (lesser[:, None] | ~found[x]))
+                new = np.unique(k[np.unique(x[k] * len(offsets) + l, return_index=True)[1]])  # the least document for each window
+                x, y, hit, lesser = x[new], y[new], hit[new], lesser[new]
+                yield x, y
+                for z, later in ((x, lesser), (y, ~lesser)):
+                    k, l = np.nonzero(hit)
+                    found[z[k], l] = True
+                    k, l = np.nonzero(hit & later[:, None])
+                    open_[z[k], l] = False
+        lo, step = lo + step, step * 3
+
+
+def _rest(links: DataFrame, chosen: DataFrame, n: int, words: int, threshold: float, parts: int) -> DataFrame:
+    """(a, at_a, b, at_b) of similar rows under keys of three contexts or more, where not all have met the least document."""
+    width = words - n + 1
+    first = links.where("mark = 3").select("key", F.col("a").alias("doc"), F.col("at_a").alias("at"))
+    many = first.groupBy("key").agg(F.count("*").alias("c")).where("c > 2").select("key")
+    asked = first.join(many, "key", "left_semi")
+    # a text goes to Python once for some thousands of its contexts
+    lists = asked.groupBy("doc", F.floor(F.col("at") / 2000).alias("list")).agg(F.collect_list(F.struct("key", "at")).alias("asks"))
+    sourced = lists.join(chosen, "doc").select("doc", "text_", F.col("asks.key").alias("key"), F.col("asks.at").alias("at"))
+    size, reach = wide(width), reaches(width)
+
+    def slices(batches):
+        for pdf in C.slabs(batches, "text_", 500_000):
+            w, edges = C.words_of(C.texts_of(pdf["text_"]))
+            for k, (doc, key, at) in enumerate(zip(pdf["doc"], pdf["key"], pdf["at"], strict=True)):
+                grams = C.shingles(w[edges[k] : edges[k + 1]], n).astype(np.uint32)
+                if not len(grams):
+                    continue
+                key, at = np.asarray(key, dtype=np.int64), np.asarray(at, dtype=np.int64)
+                for few in np.array_split(np.arange(len(key)), -(-len(key) // 10_000)):
+                    low = at[few] - np.where(key[few] & 1, reach[1], reach[0])
+                    place = low[:, None] + np.arange(size)
+                    cells = np.where((place >= 0) & (place < len(grams)), grams[np.clip(place, 0, len(grams) - 1)], np.uint32(0))
+                    yield pd.DataFrame({"key": key[few], "doc": doc, "at": at[few].astype(np.int32), "from": np.maximum(-low, 0).astype(np.int32), "to": np.minimum(len(grams) - low, size).astype(np.int32), "grams": [x.tobytes() for x in cells]})
+
+    sent = sourced.mapInPandas(slices, "key long, doc long, at int, from int, to int, grams binary")
+
+    def others(batches):
+        held = None
+
+        def met(pdf):
+            key, doc, at = (pdf[c].to_numpy() for c in ("key", "doc", "at"))
+            cells = np.frombuffer(b"".join(pdf["grams"]), dtype=np.uint32).reshape(-1, size)
+            for x, y in _others(key, doc, cells, pdf["from"].to_numpy(), pdf["to"].to_numpy(), width, threshold):
+                if len(x):
+                    yield pd.DataFrame({"a": doc[x], "at_a": at[x], "b": doc[y], "at_b": at[y]})
+
+        for pdf in _gathered(batches, lambda: 10_000):
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            key = pdf["key"].to_numpy()
+            to = int(np.searchsorted(key, key[-1]))
+            held = pdf.iloc[to:]
+            if to:
+                yield from met(pdf.iloc[:to])
+        if held is not None:
+            yield from met(held)
+
+    return sent.repartition(parts, "key").sortWithinPartitions("key", "doc", "at").mapInPandas(others, "a long, at_a int, b long, at_b int")
+
+
 def repeats(docs: DataFrame, n: int = 5, words: int = 50, threshold: float = 0.8, hashes: int = 4, piece: int = 1500, asks: int = 500, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start_word, n_words, first: the passages of each document that stand in others too.
 
@@ -230,8 +420,9 @@ def repeats(docs: DataFrame, n: int = 5, words: int = 50, threshold: float = 0.8
     and get their whole length as a passage. The others come twice, by the least n-gram with that of those before it,
     and with that of those after it, up to half a window away; a passage holds one of the two sides whole. So a key that stands in
     unrelated contexts is split by them. Under each key every document is held against the least document of its
-    range that has the same n-grams on both sides, and against the least of all if that is another one, and the ranges'
-    least against each other, never all pairs; keys are dealt over ranges in order of key and id, so that one that many share spreads over tasks. Links of one diagonal are stretches,
+    range that has the same context, and against the least of all if that is another one, and the ranges'
+    least against each other; keys are dealt over ranges in order of key and id, so that one that many share spreads over tasks.
+    Where a key has three contexts or more, all of them meet by the rarest n-grams of their windows, which finds every similar two. Links of one diagonal are stretches,
     whose n-grams, as 32-bit hashes, are compared window by window.
     """
     spark = docs.sparkSession
@@ -252,19 +443,23 @@ def repeats(docs: DataFrame, n: int = 5, words: int = 50, threshold: float = 0.8
             none = np.zeros(len(long), dtype=np.int32)
             doc = pdf["doc"].to_numpy(dtype=np.int64)
             side = (lambda x: np.concatenate([x.astype(np.uint32).view(np.int32), none]))
-            yield pd.DataFrame({"key": np.concatenate([key, whole[long]]).view(np.int64), "doc": np.concatenate([doc[owner], doc[long]]), "at": np.concatenate([at, -size[long]]).astype(np.int32), "same": np.concatenate([same[owner], same[long]]), "before": side(before), "after": side(after)})
+            around = [np.concatenate([x.view(np.int64), none]) for x in contexts(w, edges, n, width, owner, at)]
+            yield pd.DataFrame({"key": np.concatenate([key, whole[long]]).view(np.int64), "doc": np.concatenate([doc[owner], doc[long]]), "at": np.concatenate([at, -size[long]]).astype(np.int32), "same": np.concatenate([same[owner], same[long]]), "before": side(before), "after": side(after), "context_b": around[0], "context_a": around[1]})
 
-    windows = C.keep(chosen.mapInPandas(cut, "key long, doc long, at int, same int, before int, after int"), "windows")
+    columns = "key long, doc long, at int, same int, before int, after int, context_b long, context_a long"
+    windows = C.keep(chosen.mapInPandas(cut, columns), "windows")
     by = ["key", "same", "at", "doc"]
     dealt = windows.where("at >= 0").repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    shared = C.keep(dealt.mapInPandas(_partners, "key long, doc long, at int, same int, before int, after int"), "shared")
-    split = [F.when(F.col(c) != 0, F.xxhash64("key", F.lit(k), c)) for k, c in enumerate(("before", "after"))]
-    keyed = shared.select(F.explode(F.array(*split)).alias("key"), "doc", "at", F.hash("before", "after").alias("beside")).where("key IS NOT NULL")
+    shared = C.keep(dealt.mapInPandas(_partners, columns), "shared")
+    # a key's lowest bit tells the side
+    split = [F.when(F.col(c) != 0, F.struct(F.xxhash64("key", F.lit(k), c).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(k).cast("long")).alias("key"), F.col(f"context_{c[0]}").alias("beside"))) for k, c in enumerate(("before", "after"))]
+    keyed = shared.select(F.explode(F.array(*split)).alias("s"), "doc", "at").where("s IS NOT NULL").select("s.key", "doc", "at", "s.beside")
     by = ["key", "doc", "at"]
     links = C.keep(keyed.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInPandas(_meet, "key long, a long, at_a int, b long, at_b int, mark int, part int"), "links")
-    ends = links.where("mark > 0").orderBy("part", "mark").collect()  # two rows for each range
+    ends = links.where("mark IN (1, 2)").orderBy("part", "mark").collect()  # two rows for each range
     across = [(x["a"], x["at_a"], y["a"], y["at_a"]) for y, x in zip(ends[:-1], ends[1:], strict=True) if x["key"] == y["key"] and x["a"] != y["a"]]
-    met = links.where("mark = 0").select("a", "at_a", "b", "at_b")
+    rest = C.keep(_rest(links, chosen, n, words, threshold, parts), "rest")
+    met = links.where("mark = 0").select("a", "at_a", "b", "at_b").unionByName(rest)
     if across:
         met = met.unionByName(spark.createDataFrame(across, "a long, at_a int, b long, at_b int"))
     stretches = met.groupBy("a", "b", (F.col("at_a") - F.col("at_b")).alias("shift")).agg(F.min("at_a").alias("lo"), F.max("at_a").alias("hi"))
@@ -344,5 +539,5 @@ def repeats(docs: DataFrame, n: int = 5, words: int = 50, threshold: float = 0.8
     isles = found.withColumn("new", F.coalesce((F.col("x") > reach_).cast("int"), F.lit(1))).withColumn("isle", F.sum("new").over(order))
     spans = isles.groupBy("doc", "isle").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.max("later").alias("later"))
     out = C.keep(spans.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), F.col("x").alias("start_word"), (F.col("y") - F.col("x")).alias("n_words"), (~F.col("later")).alias("first")), "passages")
-    C.drop(windows, shared, links, stretches)
+    C.drop(windows, shared, links, rest, stretches)
     return out

@@ -227,6 +227,51 @@ def test_passage_whose_keys_stand_in_other_texts_too(spark):
     assert all(r["start_word"] <= 60 and r["start_word"] + r["n_words"] >= 115 for r in got.values())
 
 
+def test_passages_that_end_with_a_frequent_line(spark):
+    """Two copies of a few words and a frequent line, which unrelated documents of lesser ids have too, and after which all go on otherwise."""
+    line = prose(700, 41)
+    rows = [(k, f"{prose(30000 + k, 60)} {line} {prose(31000 + k, 60)}") for k in range(30)]
+    rows += [(100 * c + k, f"{prose(32000 + k, 11)} {line} {prose(33000 + 100 * c + k, 60)}") for c in (1, 2) for k in range(40)]
+    got = {r["doc_id"]: r for r in passages.repeats(docs(spark, rows)).collect()}
+    assert set(got) == {100 * c + k for c in (1, 2) for k in range(40)}
+    assert all(got[100 + k]["first"] and not got[200 + k]["first"] for k in range(40))
+
+
+def test_others_by_brute_force():
+    """Contexts under a few keys, as edited copies of some and at the ends of texts; each window that another document has is found, and in a lesser one."""
+    np, rng = passages.np, random.Random(9)
+    rows = []
+    for key in range(12):
+        line = [rng.randrange(10**6) for _ in range(30)]
+        kinds = [[rng.randrange(10**6) for _ in range(20)] + line + [rng.randrange(10**6) for _ in range(19)] for _ in range(6)]
+        for doc in range(rng.randrange(3, 60)):
+            said = list(rng.choice(kinds))
+            for _ in range(rng.choice((0, 0, 3, 6, 12))):
+                said[rng.randrange(69)] = rng.randrange(10**6)
+            if rng.randrange(3) == 0:
+                said.insert(rng.randrange(69), said.pop(rng.randrange(69)))
+            rows.append((key, doc // 2, said, rng.choice((0, 0, 7)), rng.choice((69, 69, 60))))
+    key, doc, grams, begin, end = (np.array(x) for x in zip(*rows, strict=True))
+    grams = grams.astype(np.uint32)
+    links = [(int(x), int(y)) for xs, ys in passages._others(key, doc, grams, begin, end, 46, 0.8) for x, y in zip(xs, ys)]
+
+    def windows(x, y):
+        for i in range(24):
+            if i >= max(begin[x], begin[y]) and i + 46 <= min(end[x], end[y]):
+                common = sum((Counter(grams[x, i : i + 46].tolist()) & Counter(grams[y, i : i + 46].tolist())).values())
+                if common >= 0.8 * (92 - common) - 1e-9:
+                    yield i
+
+    def seen(pairs):
+        return {(x, i, doc[y] < doc[x]) for x, y in pairs for i in windows(x, y)}
+
+    both = [(x, y) for x in range(len(rows)) for y in range(len(rows)) if key[x] == key[y] and doc[x] != doc[y]]
+    want, got = seen(both), seen({z for x, y in links for z in ((x, y), (y, x))})
+    first = {(x, i) for x, i, lesser in want if lesser}
+    assert {(x, i) for x, i, lesser in got if lesser} == first and {(x, i) for x, i, _ in got} == {(x, i) for x, i, _ in want}
+    assert len(first) > 500 and len({(x, i) for x, i, _ in want} - first) > 20 and len(links) < len(both) // 4
+
+
 def test_windows_are_those_of_brute_force():
     """Lines that repeat within a stretch, edits and shifts, against multisets of n-grams."""
     np, rng = passages.np, random.Random(4)

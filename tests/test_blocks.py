@@ -148,6 +148,25 @@ def test_means_of_neighbours(spark, monkeypatch, rows):
     assert "Aggregate" not in plan(got) and "SortMergeJoin" not in plan(got)
 
 
+def test_sweep_by_blocks(spark, monkeypatch, rows):
+    """Against brute force, with null ratings, a null item and neighbours that rated nothing; no row is shuffled for each of a neighbour's ratings."""
+    monkeypatch.setattr(B, "SIZE", 7)
+    rated = [*rows, (1, 77, None), (2, 77, 4.0), (3, None, 2.0), (5, 78, None)]
+    r = spark.createDataFrame(rated, "user_id long, item_id long, rating double")
+    near = [(u, v, k + 1) for u in range(12) for k, v in enumerate((u + 1, u + 500, u + 2, u + 3))]
+    got = P.sweep(spark.createDataFrame([(u, v, 0.5, k) for u, v, k in near], "u long, v long, dist double, rank long"), r, r.where("user_id % 2 = 0"), [1, 3, 4])
+    want = {}
+    for k in (1, 3, 4):
+        err = []
+        for u, i, x in rated:
+            xs = [y for a, v, rank in near if a == u and rank <= k for w, j, y in rated if w == v and j == i and i is not None and y is not None]
+            if u % 2 == 0 and xs and x is not None:
+                err.append(x - sum(xs) / len(xs))
+        want |= {(k, "RMSE"): math.sqrt(sum(e * e for e in err) / len(err)), (k, "MAE"): sum(map(abs, err)) / len(err)}
+    assert {(x["k"], x["type"]): x["value"] for x in got.collect()} == pytest.approx(want)
+    assert plan(registry.queries()["knn_k_sweep"](spark, SF)).count("CartesianProduct") == 2
+
+
 def test_colors_deal_predictions_out_once(spark):
     found = plan(registry.queries()["app_colors"](spark, SF))
     after = found[: found.index("CartesianProduct")]

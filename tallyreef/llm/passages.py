@@ -254,8 +254,109 @@ def _meet(batches):
         yield pd.DataFrame({"key": first["key"], "a": first["doc"], "at_a": first["at"], "b": first["doc"], "at_b": first["at"], "mark": 2, "part": part})
 
 
-#: Bits by which many contexts are compared before all of their n-grams are, and pairs of them remembered as compared.
-BITS, TRIED = 64_000_000, 20_000_000
+#: Cells of the table by which common n-grams of contexts are found, and pairs of rows remembered as compared.
+CELLS, TRIED = 8_000_000, 20_000_000
+
+
+class _Shared:
+    """How many n-grams windows at the same place of two contexts have in common, counted as often as they stand in both.
+
+    ids are numbers of a row's n-grams, slots the slots of those that other rows of the key may have, and -1 else. Where a row repeats none, a
+    match of two places counts for all windows that hold both; else numbers of each n-gram are kept for each window.
+    """
+
+    def __init__(self, ids: np.ndarray, slots: np.ndarray, width: int):
+        (n, self.size), self.width, self.n = ids.shape, width, ids.shape[1] - width + 1
+        self.raw, self.wide = ids, int(slots.max(initial=0)) + 1
+        place = np.arange(self.size)
+        offsets = np.arange(self.n)
+        order = np.argsort(np.where(slots >= 0, slots, self.wide), axis=1, kind="stable")
+        by, named = np.take_along_axis(slots, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        near = (by[:, 1:] == by[:, :-1]) & (by[:, 1:] >= 0)
+        again = near & (named[:, 1:] == named[:, :-1])
+        self.hard = (near & ~again).any(axis=1)  # two n-grams in one slot
+        self.twice = again.any(axis=1) & ~self.hard
+        self.ids, self.slots = ids.copy(), np.where(slots >= 0, slots, self.wide)
+        # numbers of n-grams in windows: at the places of a row that repeats none, then of each n-gram of each other row
+        numbers, self.base, at = [((place[:, None] >= offsets) & (place[:, None] < offsets + width)).astype(np.uint8)], np.zeros(n, dtype=np.int64), self.size
+        odd = np.flatnonzero(self.twice)
+        for some in np.split(odd, np.arange(1000, len(odd), 1000)):
+            if not len(some):
+                continue
+            o, s, known = order[some], by[some], by[some] >= 0
+            fresh = known.copy()
+            fresh[:, 1:] &= ~again[some]
+            which = np.cumsum(fresh, axis=1) - 1
+            count = fresh.sum(axis=1)
+            begin = np.cumsum(count) - count
+            k, i = np.nonzero(known)
+            cell = (begin[k] + which[k, i]) * (self.n + 1)
+            low, high = np.maximum(o[k, i] - width + 1, 0), np.minimum(o[k, i], self.n - 1)
+            total = int(count.sum()) * (self.n + 1)
+            steps = (np.bincount(cell + low, minlength=total) - np.bincount(cell + high + 1, minlength=total)).astype(np.int16).reshape(-1, self.n + 1)
+            numbers.append(np.cumsum(steps, axis=1, dtype=np.int16)[:, : self.n].astype(np.uint8 if width < 256 else np.int32))
+            self.base[some] = at + begin
+            at += int(count.sum())
+            self.slots[some] = self.wide
+            k, i = np.nonzero(fresh)
+            self.slots[some[k], which[k, i]] = s[k, i]
+            self.ids[some[k], which[k, i]] = named[some[k], i]
+        self.numbers = np.concatenate(numbers)
+        self.once = max(64, min(2048, CELLS // (self.wide + 1)))
+        self.table = np.full((self.once, self.wide + 1), -1, dtype=np.int16)
+
+    def counts(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), self.n), dtype=np.int32)
+        hard, odd = self.hard[x] | self.hard[y], self.twice[x] | self.twice[y]
+        for kind, once in ((~hard & ~odd, self.once), (~hard & odd, self.once), (hard, 200)):
+            chosen = np.flatnonzero(kind)
+            for some in np.split(chosen, np.arange(once, len(chosen), once)):
+                if len(some):
+                    out[some] = (self._counted if hard[some[0]] else self._summed if odd[some[0]] else self._placed)(x[some], y[some])
+        return out
+
+    def _matched(self, x, y):
+        """Pairs, places in x and in y of their common n-grams."""
+        own, at = np.unique(y, return_inverse=True)
+        cells = (np.arange(len(own))[:, None], self.slots[own])
+        self.table[cells] = np.arange(self.size, dtype=np.int16)
+        self.table[: len(own), self.wide] = -1
+        j = self.table[at[:, None], self.slots[x]]
+        self.table[cells] = -1
+        p, i = np.nonzero(j >= 0)
+        j = j[p, i].astype(np.int64)
+        same = self.ids[y[p], j] == self.ids[x[p], i]
+        return p[same], i[same], j[same]
+
+    def _placed(self, x, y):
+        p, i, j = self._matched(x, y)
+        low, high = np.maximum(np.maximum(i, j) - self.width + 1, 0), np.minimum(np.minimum(i, j), self.n - 1)
+        near, wide = low <= high, self.n + 1
+        p = p[near] * wide
+        steps = np.bincount(p + low[near], minlength=len(x) * wide) - np.bincount(p + high[near] + 1, minlength=len(x) * wide)
+        return np.cumsum(steps.reshape(len(x), wide), axis=1)[:, : self.n]
+
+    def _summed(self, x, y):
+        out = np.zeros((len(x), self.n), dtype=np.int32)
+        p, i, j = self._matched(x, y)
+        if len(p):
+            both = np.minimum(self.numbers[self.base[x[p]] + i], self.numbers[self.base[y[p]] + j])
+            begin = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+            out[p[begin]] = np.add.reduceat(both, begin, axis=0, dtype=np.int32)
+        return out
+
+    def _counted(self, x, y):
+        shown = np.lib.stride_tricks.sliding_window_view(self.raw, self.width, axis=1)
+        one, two = (_numbered(shown[z].reshape(-1, self.width).astype(np.int64), self.width) for z in (x, y))
+        both = np.sort(np.concatenate([one, two], axis=1), axis=1)
+        return (both[:, 1:] == both[:, :-1]).sum(axis=1).reshape(len(x), self.n)
+
+
+def _best(of: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """For each number of of, the place of its greatest gain above zero, the first of equals."""
+    some = np.flatnonzero(gain)
+    some = some[np.lexsort((-gain[some], of[some]))]
+    return some[np.append(True, of[some][1:] != of[some][:-1])[: len(some)]]
 
 
 def _others(key: np.ndarray, doc: np.ndarray, grams: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int, threshold: float):
@@ -263,97 +364,102 @@ def _others(key: np.ndarray, doc: np.ndarray, grams: np.ndarray, begin: np.ndarr
 
     grams holds a row's context, of which begin to end lie in its text. Exact, without meeting all pairs: two windows of width n-grams that
     may differ in so many share one of that many and one more that are the rarest of their key in either. Rows meet those with
-    which a window shares such a one, least documents first, until each window is found in a lesser document or all were met.
+    which a window shares such a one, least documents first, until each window is found in a lesser document or all were met. Of
+    similar rows, those are given that most windows of a row are still to be found in.
     """
     common = np.arange(width + 1)
-    differ = width - int(common[common >= threshold * (2 * width - common) - 1e-9][0])
-    n, size = grams.shape
+    least = int(common[common >= threshold * (2 * width - common) - 1e-9][0])
+    differ, (n, size) = width - least, grams.shape
     offsets = np.arange(size - width + 1)
     inside = (np.arange(size) >= begin[:, None]) & (np.arange(size) < end[:, None])
-    run = np.cumsum(np.append(True, key[1:] != key[:-1])).astype(np.uint64)
-    codes = np.unique((run[:, None] << np.uint64(32) | grams)[inside], return_inverse=True, return_counts=True)
-    order = np.argsort(codes[2], kind="stable")
-    by = np.empty(len(order), dtype=np.int64)
-    by[order] = np.arange(len(order))  # rarest first
-    rank = np.full(grams.shape, len(order), dtype=np.int64)
-    rank[inside] = by[codes[1]]
-    lone = int((codes[2] == 1).sum())  # ranks below it stand once in their key
+    begins = np.append(True, key[1:] != key[:-1])
+    run = np.cumsum(begins) - 1
+    # n-grams of a key are numbered, and ranked by how often they stand in it
+    codes = (run.astype(np.uint64)[:, None] << np.uint64(32) | grams)[inside]
+    order = np.argsort(codes)
+    fresh = codes[order]
+    fresh = np.append(True, fresh[1:] != fresh[:-1])[: len(codes)]
+    heads = np.flatnonzero(fresh)
+    times, owner = np.diff(np.append(heads, len(codes))), (codes[order[heads]] >> np.uint64(32)).astype(np.int64)
+    ids = np.full(grams.shape, len(times), dtype=np.int32)
+    flat = np.empty(len(codes), dtype=np.int32)
+    flat[order] = np.cumsum(fresh) - 1
+    ids[inside] = flat
+    by = np.full(len(times) + 1, len(times), dtype=np.int64)
+    by[np.argsort(times, kind="stable")] = np.arange(len(times))
+    lone = int((times == 1).sum())  # ranks below it stand once in their key
+    rank = by[ids]
     sums = np.concatenate([np.zeros((n, 1), dtype=np.int64), np.cumsum(rank < lone, axis=1)], axis=1)
     open_ = (begin[:, None] <= offsets) & (offsets + width <= end[:, None]) & (sums[:, width:] - sums[:, : len(offsets)] <= differ)
-    valid = open_.copy()
-    rows, at = np.nonzero(open_)
-    shown = np.lib.stride_tricks.sliding_window_view(rank, width, axis=1)
-    least = [np.zeros((0, differ + 1), dtype=np.int64)]
-    for some in np.array_split(np.arange(len(rows)), -(-len(rows) // 20_000) or 1):
-        if len(some):
-            least.append(np.partition(shown[rows[some], at[some]], differ, axis=1)[:, : differ + 1])
-    least = np.concatenate(least) * n + rows[:, None]
-    posts = np.unique(least[least >= lone * n])
-    what, who = posts // n, posts % n
-    start, stop = np.searchsorted(what, what), np.searchsorted(what, what, "right")
-    slots = max(256, min(4096, BITS // n))
-    bits = np.zeros((n, slots), dtype=bool)
-    bits[np.nonzero(inside)[0], rank[inside] % slots] = True
-    rank, place = rank.astype(np.int32), (rank % slots).astype(np.int16)
-    shown = np.lib.stride_tricks.sliding_window_view(rank, width, axis=1)
-
-    def counted(x):
-        sums = np.zeros((len(x), size + 1), dtype=np.int16)
-        np.cumsum(x, axis=1, out=sums[:, 1:])
-        return sums[:, width:] - sums[:, : len(offsets)]
-
-    def alike(x, y, lesser):
-        """Where windows of x and of y are similar: by n-grams at the same place, else by all where y has enough of x's at all."""
-        both = valid[x] & valid[y]
-        hit = both & (counted(rank[x] == rank[y]) >= width - differ)
-        left = both & open_[x] & (lesser[:, None] | ~found[x]) & ~hit
-        some = np.flatnonzero(left.any(axis=1))
-        left[some] &= counted(bits[y[some][:, None], place[x[some]]]) >= width - differ
-        k, l = np.nonzero(left)
-        for few in np.array_split(np.arange(len(k)), -(-len(k) // 2000) or 1):
-            if len(few):
-                one, two = (_numbered(shown[z[k[few]], l[few]].astype(np.int64), width) for z in (x, y))
-                one = np.sort(np.concatenate([one, two], axis=1), axis=1)
-                hit[k[few], l[few]] = (one[:, 1:] == one[:, :-1]).sum(axis=1) >= width - differ
-        return hit
-
-    found, lo, step = np.zeros_like(open_), 0, 1
+    valid, found = open_.copy(), np.zeros_like(open_)
+    # posts: a row's n-grams that are of the rarest in some of its windows, with these windows
+    rows_, whats, shows = [], [], []
+    for some in np.split(np.arange(n), np.arange(1000, n, 1000)):
+        cells = np.sort(rank[some] * size + np.arange(size), axis=1)
+        # equal n-grams of a window count as often as they stand in it
+        cells = cells[:, : differ + 1 + size - width]
+        place = (cells % size).astype(np.int16)[:, :, None]
+        held = (place >= offsets) & (place < offsets + width)
+        held &= np.cumsum(held, axis=1, dtype=np.int16) <= differ + 1
+        held &= open_[some][:, None, :]
+        k, s = np.nonzero(held.any(axis=2) & (cells >= lone * size))
+        rows_.append(some[k])
+        whats.append(cells[k, s] // size)
+        shows.append(held[k, s])
+    row, what, shown = np.concatenate(rows_), np.concatenate(whats), np.concatenate(shows)
+    if len(row):  # one for each n-gram of a row
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (what[1:] != what[:-1])))
+        row, what, shown = row[first], what[first], np.logical_or.reduceat(shown, first, axis=0)
+    order = np.lexsort((row, what))
+    listed, sorted_ = row[order], what[order]
+    own = np.empty(len(order), dtype=np.int64)
+    own[order] = np.arange(len(order))
+    start, stop = np.searchsorted(sorted_, what), np.searchsorted(sorted_, what, "right")
+    active = np.flatnonzero(stop - start > 1)
+    # slots of n-grams that others may have; a key of few gives each its own
+    many = np.append(times > 1, False)
+    of = np.append(np.cumsum(many) - many, 0)[:-1]
+    lowest = of[np.searchsorted(owner, np.arange(int(run[-1]) + 1))] if len(owner) else np.zeros(n, dtype=np.int64)
+    slots = np.where(many[ids], (of[ids] - lowest[run][:, None]) % (1 << 16), -1)
+    shared = _Shared(ids, slots, width)
     tried = np.zeros(0, dtype=np.int64)
-    while True:
-        # windows found in greater documents alone look for lesser ones only
-        need = open_[rows, at]
-        any_ = need & ~found[rows, at]
-        seek = np.searchsorted(posts, np.unique(least[need][least[need] >= lone * n]))
-        all_ = np.zeros(len(posts), dtype=bool)
-        all_[np.searchsorted(posts, np.unique(least[any_][least[any_] >= lone * n]))] = True
-        till = np.where(all_[seek], stop[seek], seek)
-        here = start[seek] + lo < till
-        seek, till = seek[here], till[here]
-        if not len(seek):
-            break
-        counts = np.minimum(till - start[seek] - lo, step)
-        cut, before = np.cumsum(counts) // 200_000, tried
-        for some in np.split(np.arange(len(seek)), np.flatnonzero(np.diff(cut)) + 1):
-            x = np.repeat(who[seek[some]], counts[some])
-            y = who[_places(counts[some], start[seek[some]] + lo)]
-            pair = np.unique((x * n + y)[doc[x] != doc[y]])
-            pair = pair[~np.isin(pair, tried, assume_unique=True)]
-            tried = np.union1d(tried, pair) if len(before) + len(pair) < TRIED else pair
-            for few in np.array_split(pair, -(-len(pair) // 10_000) or 1):
-                x, y = few // n, few % n
+    lo, step = 0, 1
+    while len(active):
+        look = shown[active] & open_[row[active]]
+        till = np.where((look & ~found[row[active]]).any(axis=1), stop[active], own[active])
+        here = look.any(axis=1) & (start[active] + lo < till)
+        active, till = active[here], till[here]
+        counts = np.minimum(till - start[active] - lo, step)
+        before = tried
+        for some in np.split(np.arange(len(active)), np.flatnonzero(np.diff(np.cumsum(counts) // 200_000)) + 1):
+            a, b = np.repeat(row[active[some]], counts[some]), listed[_places(counts[some], start[active[some]] + lo)]
+            other = doc[a] != doc[b]
+            pair = np.sort(np.maximum(a, b)[other] * n + np.minimum(a, b)[other])
+            pair = pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]
+            if len(tried) and len(pair):
+                pair = pair[tried[np.minimum(np.searchsorted(tried, pair), len(tried) - 1)] != pair]
+            tried = np.sort(np.concatenate([tried, pair])) if len(before) + len(pair) < TRIED else pair
+            for few in np.split(pair, np.arange(20_000, len(pair), 20_000)):
+                x, y = few // n, few % n  # y is of the lesser document
+                both = valid[x] & valid[y]
+                asked = (both & (open_[x] | ~found[y])).any(axis=1)
+                x, y = x[asked], y[asked]
                 if not len(x):
                     continue
-                lesser = doc[y] < doc[x]
-                hit = alike(x, y, lesser)
-                k, l = np.nonzero(hit & open_[x] & (lesser[:, None] | ~found[x]))
-                new = np.unique(k[np.unique(x[k] * len(offsets) + l, return_index=True)[1]])  # the least document for each window
-                x, y, hit, lesser = x[new], y[new], hit[new], lesser[new]
-                yield x, y
-                for z, later in ((x, lesser), (y, ~lesser)):
-                    k, l = np.nonzero(hit)
-                    found[z[k], l] = True
-                    k, l = np.nonzero(hit & later[:, None])
-                    open_[z[k], l] = False
+                hit = both[asked] & (shared.counts(x, y) >= least)
+                some_ = hit.any(axis=1)
+                x, y, hit = x[some_], y[some_], hit[some_]
+                while True:
+                    k = _best(x, (hit & open_[x]).sum(axis=1))
+                    if not len(k):
+                        k = _best(y, (hit & ~found[y]).sum(axis=1))
+                    if not len(k):
+                        break
+                    yield x[k], y[k]
+                    for z, states in ((x[k], (open_, found)), (y[k], (found,))):
+                        p, l = np.nonzero(hit[k])
+                        for state in states:
+                            state[z[p], l] = state is found
         lo, step = lo + step, step * 3
 
 
@@ -368,31 +474,46 @@ def _rest(links: DataFrame, chosen: DataFrame, n: int, words: int, threshold: fl
     sourced = lists.join(chosen, "doc").select("doc", "text_", F.col("asks.key").alias("key"), F.col("asks.at").alias("at"))
     size, reach = wide(width), reaches(width)
 
+    def cells(w, edges, docs, keys, places):
+        """Rows of many texts' contexts, some thousands at a time."""
+        grams = [C.shingles(w[x:y], n).astype(np.uint32) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        sizes = np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
+        begins, flat = np.cumsum(sizes) - sizes, np.concatenate([*grams, np.zeros(1, dtype=np.uint32)])
+        of = np.repeat(np.arange(len(docs)), np.fromiter(map(len, keys), dtype=np.int64, count=len(keys)))
+        key, at = (np.concatenate(x).astype(np.int64) for x in (keys, places))
+        for few in np.array_split(np.flatnonzero(sizes[of] > 0), -(-len(of) // 10_000) or 1):
+            low = at[few] - np.where(key[few] & 1, reach[1], reach[0])
+            place, most = low[:, None] + np.arange(size), sizes[of[few]]
+            held = (place >= 0) & (place < most[:, None])
+            raw = np.where(held, flat[np.where(held, place + begins[of[few]][:, None], 0)], np.uint32(0)).tobytes()
+            yield pd.DataFrame({"key": key[few], "doc": docs[of[few]], "at": at[few].astype(np.int32), "from": np.maximum(-low, 0).astype(np.int32), "to": np.minimum(most - low, size).astype(np.int32), "grams": [raw[k : k + 4 * size] for k in range(0, len(raw), 4 * size)]})
+
     def slices(batches):
         for pdf in C.slabs(batches, "text_", 500_000):
             w, edges = C.words_of(C.texts_of(pdf["text_"]))
-            for k, (doc, key, at) in enumerate(zip(pdf["doc"], pdf["key"], pdf["at"], strict=True)):
-                grams = C.shingles(w[edges[k] : edges[k + 1]], n).astype(np.uint32)
-                if not len(grams):
-                    continue
-                key, at = np.asarray(key, dtype=np.int64), np.asarray(at, dtype=np.int64)
-                for few in np.array_split(np.arange(len(key)), -(-len(key) // 10_000)):
-                    low = at[few] - np.where(key[few] & 1, reach[1], reach[0])
-                    place = low[:, None] + np.arange(size)
-                    cells = np.where((place >= 0) & (place < len(grams)), grams[np.clip(place, 0, len(grams) - 1)], np.uint32(0))
-                    yield pd.DataFrame({"key": key[few], "doc": doc, "at": at[few].astype(np.int32), "from": np.maximum(-low, 0).astype(np.int32), "to": np.minimum(len(grams) - low, size).astype(np.int32), "grams": [x.tobytes() for x in cells]})
+            yield from cells(w, edges, pdf["doc"].to_numpy(dtype=np.int64), [np.asarray(x) for x in pdf["key"]], [np.asarray(x) for x in pdf["at"]])
 
     sent = sourced.mapInPandas(slices, "key long, doc long, at int, from int, to int, grams binary")
 
+    def linked(doc, at, pairs):
+        x, y = (np.concatenate(z) for z in zip(*pairs, strict=True))
+        return pd.DataFrame({"a": doc[x], "at_a": at[x], "b": doc[y], "at_b": at[y]})
+
     def others(batches):
         held = None
 
         def met(pdf):
             key, doc, at = (pdf[c].to_numpy() for c in ("key", "doc", "at"))
             cells = np.frombuffer(b"".join(pdf["grams"]), dtype=np.uint32).reshape(-1, size)
-            for x, y in _others(key, doc, cells, pdf["from"].to_numpy(), pdf["to"].to_numpy(), width, threshold):
-                if len(x):
-                    yield pd.DataFrame({"a": doc[x], "at_a": at[x], "b": doc[y], "at_b": at[y]})
+            some, held = [], 0
+            for pair in _others(key, doc, cells, pdf["from"].to_numpy(), pdf["to"].to_numpy(), width, threshold):
+                some.append(pair)
+                held += len(pair[0])
+                if held >= 20_000:
+                    yield linked(doc, at, some)
+                    some, held = [], 0
+            if some:
+                yield linked(doc, at, some)
 
         for pdf in _gathered(batches, lambda: 10_000):
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
@@ -451,6 +572,9 @@ def repeats(docs: DataFrame, n: int = 5, words: int = 50, threshold: float = 0.8
     by = ["key", "same", "at", "doc"]
     dealt = windows.where("at >= 0").repartitionByRange(parts, *by).sortWithinPartitions(*by)
     shared = C.keep(dealt.mapInPandas(_partners, columns), "shared")
+    # the others are not needed any more, and are most of what is on disk
+    whole = C.keep(windows.where("at < 0").select("key", "same", "doc", (-F.col("at")).alias("y")), "whole")
+    C.drop(windows)
     # a key's lowest bit tells the side
     split = [F.when(F.col(c) != 0, F.struct(F.xxhash64("key", F.lit(k), c).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(k).cast("long")).alias("key"), F.col(f"context_{c[0]}").alias("beside"))) for k, c in enumerate(("before", "after"))]
     keyed = shared.select(F.explode(F.array(*split)).alias("s"), "doc", "at").where("s IS NOT NULL").select("s.key", "doc", "at", "s.beside")
@@ -530,7 +654,6 @@ def repeats(docs: DataFrame, n: int = 5, words: int = 50, threshold: float = 0.8
             yield pd.DataFrame({"doc": np.concatenate([a, b]), "x": np.concatenate([begin, begin - shift]).astype(np.int32), "y": np.concatenate([end, end - shift]).astype(np.int32), "later": np.concatenate([a > b, b > a])})
 
     found = sent.repartition(parts, "id").sortWithinPartitions("id", "side").mapInPandas(verify, "doc long, x int, y int, later boolean")
-    whole = windows.where("at < 0").select("key", "same", "doc", (-F.col("at")).alias("y"))
     groups = whole.groupBy("key", "same").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
     copies = whole.join(groups, ["key", "same"]).select("doc", F.lit(0).alias("x"), "y", (F.col("doc") > F.col("low")).alias("later"))
     found = found.unionByName(copies).groupBy("doc", "x", "y").agg(F.max("later").alias("later"))
@@ -539,5 +662,5 @@ def repeats(docs: DataFrame, n: int = 5, words: int = 50, threshold: float = 0.8
     isles = found.withColumn("new", F.coalesce((F.col("x") > reach_).cast("int"), F.lit(1))).withColumn("isle", F.sum("new").over(order))
     spans = isles.groupBy("doc", "isle").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.max("later").alias("later"))
     out = C.keep(spans.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), F.col("x").alias("start_word"), (F.col("y") - F.col("x")).alias("n_words"), (~F.col("later")).alias("first")), "passages")
-    C.drop(windows, shared, links, rest, stretches)
+    C.drop(shared, whole, links, rest, stretches)
     return out

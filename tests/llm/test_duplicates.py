@@ -272,6 +272,30 @@ def test_others_by_brute_force():
     assert len(first) > 500 and len({(x, i) for x, i, _ in want} - first) > 20 and len(links) < len(both) // 4
 
 
+def test_others_of_lines_said_over_and_over():
+    """A line of a few words many times over, that texts enter and leave at other places: each window is found, by few links."""
+    np, rng = passages.np, random.Random(9)
+    line = [rng.randrange(10**6) for _ in range(9)]
+    rows = []
+    for doc in range(300):
+        foreign = [10**6 + 69 * doc + k for k in range(69)]
+        enter, leave = rng.randrange(24), 69 - rng.randrange(24)
+        rows.append([line[k % 9] if enter <= k < leave else foreign[k] for k in range(69)])
+    grams, n = np.array(rows, dtype=np.uint32), len(rows)
+    key, zero = np.zeros((2, n), dtype=np.int64)
+    links = [(int(x), int(y)) for xs, ys in passages._others(key, np.arange(n), grams, zero, zero + 69, 46, 0.8) for x, y in zip(xs, ys)]
+    said = sorted(set(line))
+    own = np.array([[[w.count(g) for g in said] for w in (x[i : i + 46] for i in range(24))] for x in rows])  # foreign words stand in one text alone
+
+    def seen(pairs):
+        return {(x, i, y < x) for x, y in pairs for i in np.flatnonzero(np.minimum(own[x], own[y]).sum(axis=1) >= 41).tolist()}
+
+    want = seen((x, y) for x in range(n) for y in range(n) if x != y)
+    got = seen(z for x, y in links for z in ((x, y), (y, x)))
+    assert {z for z in want if z[2]} <= got and {z[:2] for z in want} == {z[:2] for z in got}
+    assert len(links) < 1.4 * n
+
+
 def test_windows_are_those_of_brute_force():
     """Lines that repeat within a stretch, edits and shifts, against multisets of n-grams."""
     np, rng = passages.np, random.Random(4)
